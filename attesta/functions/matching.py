@@ -32,22 +32,32 @@ def person_tokens(x) -> Column:
                     lambda w: (F.length(w) > 1) & ~w.isin(rules.NAME_SUFFIXES))
 
 
-def form(kind, x) -> Column:
-    """The form of a value for its matcher; null when the matcher cannot use it."""
+ALL_KINDS = ("person", "business", "address", "tin", "tin_branch", "email", "phone",
+             "business_form", "name")
+
+
+def form(kind, x, kinds=ALL_KINDS) -> Column:
+    """The form of a value for its matcher; null when the matcher cannot use it. ``kind`` may be a
+    column; naming the ``kinds`` it can hold keeps the expression small."""
     kind, x = t._c(kind), t._c(x)
     d = t.digits(x)
     person = F.array_join(F.array_sort(F.array_distinct(person_tokens(x))), " ")
-    return F.when(~t.blank(x), (
-        F.when(kind == "person", F.when(person != "", person))
-        .when(kind == "business", t.alnum(t.business_key(x)))
-        .when(kind == "address", F.array_join(address_tokens(x), " "))
-        .when(kind == "tin", F.when(F.length(d) >= 9, F.substring(d, 1, 9)))
-        .when(kind == "tin_branch", F.when(F.length(d) >= 9, F.concat_ws(
-            "-", F.substring(d, 1, 9), F.regexp_replace(F.substring(d, 10, 99), "^0+", ""))))
-        .when(kind == "email", F.lower(t.strip(x)))
-        .when(kind == "phone", t.phone_key(x))
-        .when(kind == "business_form", t.business_form(x, F.lit(None)))
-        .when(kind == "name", t.normalize_name(x))))
+    forms = {
+        "person": F.when(person != "", person),
+        "business": t.alnum(t.business_key(x)),
+        "address": F.array_join(address_tokens(x), " "),
+        "tin": F.when(F.length(d) >= 9, F.substring(d, 1, 9)),
+        "tin_branch": F.when(F.length(d) >= 9, F.concat_ws(
+            "-", F.substring(d, 1, 9), F.regexp_replace(F.substring(d, 10, 99), "^0+", ""))),
+        "email": F.lower(t.strip(x)),
+        "phone": t.phone_key(x),
+        "business_form": t.business_form(x, F.lit(None)),
+        "name": t.normalize_name(x),
+    }
+    out = F.lit(None).cast("string")
+    for k in kinds:
+        out = F.when(kind == k, forms[k]).otherwise(out)
+    return F.when(~t.blank(x), out)
 
 
 def _words(f: Column) -> Column:
@@ -60,11 +70,11 @@ def _person(a: Column, b: Column) -> Column:
     return F.when(nested & (F.least(F.size(wa), F.size(wb)) >= 2), LIKELY).otherwise(DIFFERENT)
 
 
-def _address(a: Column, b: Column) -> Column:
+def _address(a: Column, b: Column, clash: Column) -> Column:
     wa, wb = _words(a), _words(b)
     common = F.size(F.array_intersect(wa, wb))
     small = F.least(F.size(wa), F.size(wb))
-    return (F.when(t.numbers_conflict(a, b), DIFFERENT)
+    return (F.when(clash, DIFFERENT)
             .when((small > 0) & (common == small), SAME)
             .when(common / F.greatest(small, F.lit(1)) >= 0.75, LIKELY)
             .otherwise(DIFFERENT))
@@ -73,33 +83,43 @@ def _address(a: Column, b: Column) -> Column:
 _UNDECIDED = "?"
 
 
-def _business(a: Column, b: Column) -> Column:
+def _business(a: Column, b: Column, clash: Column) -> Column:
     la, lb = F.length(a), F.length(b)
     in_reach = 2.0 * F.least(la, lb) / F.greatest(la + lb, F.lit(1)) >= 0.9
     return (F.when(a.contains(b) | b.contains(a), LIKELY)
-            .when(~in_reach | t.numbers_conflict(a, b), DIFFERENT)
+            .when(~in_reach | clash, DIFFERENT)
             .otherwise(_UNDECIDED))
 
 
-def decided(kind, a, b) -> Column:
-    """The verdict of two forms by plain expressions; '?' where only similarity can tell."""
+def same_person(a, b) -> Column:
+    """Two person forms hold the same words."""
+    return F.coalesce(t._c(a) == t._c(b), F.lit(False))
+
+
+def with_verdict(df, kind, a, b, name: str = "verdict", kinds=ALL_KINDS):
+    """Add the verdict of two form columns. Plain expressions decide nearly all; similarity is
+    computed for undecided business names only and the Python side sees null for all others."""
     kind, a, b = t._c(kind), t._c(a), t._c(b)
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("string")).otherwise(
-        F.when((kind == "address"), _address(a, b))
-        .when(a == b, SAME)
-        .when(kind == "person", _person(a, b))
-        .when(kind == "business", _business(a, b))
-        .otherwise(DIFFERENT))
-
-
-def with_verdict(df, kind, a, b, name: str = "verdict"):
-    """Add the verdict of two form columns. Similarity is computed for undecided rows only; the
-    Python side sees null for all others."""
-    df = df.withColumn(name, decided(kind, a, b))
-    open_ = F.col(name) == _UNDECIDED
-    df = df.withColumn("__ratio", similarity(F.when(open_, t._c(a)), F.when(open_, t._c(b))))
-    return df.withColumn(name, F.when(~open_, F.col(name)).when(
-        F.col("__ratio") >= 0.9, LIKELY).when(open_, DIFFERENT)).drop("__ratio")
+    texts = [k for k in ("address", "business") if k in kinds]
+    clash = F.lit(False)
+    if texts:
+        df = df.withColumn("__clash", F.when(kind.isin(texts), t.numbers_conflict(a, b)))
+        clash = F.col("__clash")
+    verdict = F.lit(DIFFERENT)
+    if "business" in kinds:
+        verdict = F.when(kind == "business", _business(a, b, clash)).otherwise(verdict)
+    if "person" in kinds:
+        verdict = F.when(kind == "person", _person(a, b)).otherwise(verdict)
+    verdict = F.when(a == b, SAME).otherwise(verdict)
+    if "address" in kinds:
+        verdict = F.when(kind == "address", _address(a, b, clash)).otherwise(verdict)
+    df = df.withColumn(name, F.when(a.isNotNull() & b.isNotNull(), verdict))
+    if "business" in kinds:
+        open_ = F.col(name) == _UNDECIDED
+        df = df.withColumn("__ratio", similarity(F.when(open_, a), F.when(open_, b)))
+        df = df.withColumn(name, F.when(~open_, F.col(name)).when(
+            F.col("__ratio") >= 0.9, LIKELY).when(open_, DIFFERENT)).drop("__ratio")
+    return df.drop("__clash")
 
 
 def agrees(verdict) -> Column:

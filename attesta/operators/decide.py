@@ -87,13 +87,12 @@ def propose_changes(chosen: DataFrame, accounts: DataFrame, checks: DataFrame,
         .withColumn("matcher", _by_attribute({a: s[2] for a, s in targets.items()}))
     no_value = (attribute == "taxpayer_type") & F.col("__proposed").isNull()
     df = df.where(no_value | ~t.blank("__proposed"))
-    df = df.withColumn("__f1", m.form(F.col("matcher"), "current_value")).withColumn(
-        "__f2", m.form(F.col("matcher"), "__proposed"))
-    df = m.with_verdict(df, F.col("matcher"), "__f1", "__f2")
-    sales_rep = F.coalesce(
-        (attribute == "owner_name") & (m.decided(
-            F.lit("person"), m.form(F.lit("person"), "current_value"),
-            m.form(F.lit("person"), "__record_owner")) == "SAME"), F.lit(False))
+    kinds = {s[2] for s in targets.values()}
+    df = df.withColumn("__f1", m.form(F.col("matcher"), "current_value", kinds)).withColumn(
+        "__f2", m.form(F.col("matcher"), "__proposed", kinds)).withColumn(
+        "__f3", m.form(F.lit("person"), "__record_owner", ("person",)))
+    df = m.with_verdict(df, F.col("matcher"), "__f1", "__f2", kinds=kinds)
+    sales_rep = (attribute == "owner_name") & m.same_person("__f1", "__f3")
     may_correct = _by_attribute({a: s[3] for a, s in targets.items()})
     clash = checked & F.coalesce("__conflict", F.lit(False))
     action = (F.when(no_value, "NO_PICKLIST_VALUE").when(clash, "REVIEW_CONFLICT")
@@ -141,10 +140,12 @@ def compare_account_name(accounts: DataFrame, facts: DataFrame) -> DataFrame:
     """F5. The account's name against all business and registered names of its documents: the best
     verdict, shown only (MATCH or DIFFERS). Names are merged to their forms before comparing."""
     names = facts.where(F.col("attribute").isin("business_name", "registered_name")).select(
-        "account_id", m.form(F.lit("business"), "value").alias("b")).distinct()
+        "account_id", m.form(F.lit("business"), "value", ("business",)).alias("b")).distinct()
     own = accounts.where(~t.blank("Account_Name")).select(
-        "account_id", "Account_Name", m.form(F.lit("business"), "Account_Name").alias("a"))
-    judged = m.with_verdict(own.join(names, "account_id"), F.lit("business"), "a", "b")
+        "account_id", "Account_Name",
+        m.form(F.lit("business"), "Account_Name", ("business",)).alias("a"))
+    judged = m.with_verdict(own.join(names, "account_id"), F.lit("business"), "a", "b",
+                            kinds=("business",))
     best = judged.groupBy("account_id").agg(
         F.first("Account_Name").alias("current_value"),
         F.max(m.agrees("verdict")).alias("ok"))
@@ -327,9 +328,9 @@ def _document_check(best: DataFrame, proposals: DataFrame, target: str, matcher:
         "account_id", F.col("action").alias("__action"),
         F.col("proposed_value").alias("__proposed"))
     df = best.join(change, "account_id", "left").withColumn(
-        "__f1", m.form(F.lit(matcher), "__now")).withColumn(
-        "__f2", m.form(F.lit(matcher), "__value"))
-    df = m.with_verdict(df, F.lit(matcher), "__f1", "__f2")
+        "__f1", m.form(F.lit(matcher), "__now", (matcher,))).withColumn(
+        "__f2", m.form(F.lit(matcher), "__value", (matcher,)))
+    df = m.with_verdict(df, F.lit(matcher), "__f1", "__f2", kinds=(matcher,))
     gone, empty = F.col("__value").isNull(), t.blank("__now")
     ok = ~empty & m.agrees("verdict")
     coming = F.coalesce(F.col("__action").isin("FILL", "CORRECT"), F.lit(False))

@@ -93,9 +93,11 @@ def match_pairs(pairs: DataFrame, kind, a: str = "a", b: str = "b") -> DataFrame
     """E2. Adds ``verdict`` SAME / LIKELY_SAME / DIFFERENT / null for two value columns. ``kind``
     (a name or a column): person, business, address, tin (branch ignored), tin_branch, email,
     phone."""
+    kinds = (kind,) if isinstance(kind, str) else m.ALL_KINDS
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    df = pairs.withColumn("__a", m.form(kind, a)).withColumn("__b", m.form(kind, b))
-    return m.with_verdict(df, kind, "__a", "__b").drop("__a", "__b")
+    df = pairs.withColumn("__a", m.form(kind, a, kinds)).withColumn(
+        "__b", m.form(kind, b, kinds))
+    return m.with_verdict(df, kind, "__a", "__b", kinds=kinds).drop("__a", "__b")
 
 
 # ---------------------------------------------------------------- E3
@@ -103,7 +105,7 @@ def distinct_forms(facts: DataFrame, matchers: dict) -> DataFrame:
     """Facts of the compared attributes merged to their distinct forms, with the first and last
     document, the first place and the number of facts of each."""
     df = facts.withColumn("matcher", _matcher(matchers)).where(F.col("matcher").isNotNull())
-    df = df.withColumn("form", m.form(F.col("matcher"), "value"))
+    df = df.withColumn("form", m.form(F.col("matcher"), "value", set(matchers.values())))
     return df.groupBy(*GROUP, "matcher", "form").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
         F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("n"))
@@ -123,7 +125,8 @@ def _pair_rank(df: DataFrame) -> DataFrame:
     early = F.col("a_at") <= F.col("b_at")
     df = df.withColumn("__x", F.when(early, F.col("a")).otherwise(F.col("b"))) \
         .withColumn("__y", F.when(early, F.col("b")).otherwise(F.col("a")))
-    df = m.with_verdict(df, F.col("matcher"), "__x", "__y")
+    df = m.with_verdict(df, F.col("matcher"), "__x", "__y",
+                        kinds=("person", "business", "address"))
     return df.withColumn("worst", F.when(
         ~_one_document("a_lo", "a_hi", "b_lo", "b_hi"), m.rank("verdict")))
 
@@ -254,17 +257,18 @@ def agreeing_documents(chosen: DataFrame, facts: DataFrame, matchers: dict = AGR
                        hot_rows: int = HOT_ROWS) -> DataFrame:
     """E5. Per chosen value the number of facts from other documents that match it. Facts are merged
     to their distinct forms before they are compared."""
+    kinds = set(matchers.values())
     pick = chosen.withColumn("__m", _matcher(matchers)).where(F.col("__m").isNotNull()).select(
-        *GROUP, F.struct(m.form(F.col("__m"), "value").alias("form"),
+        *GROUP, F.struct(m.form(F.col("__m"), "value", kinds).alias("form"),
                          F.col("doc_id").alias("doc"), F.col("__m").alias("matcher"))
         .alias("__c"), "n_facts")
     df = attach(facts.select(*GROUP, "value", "doc_id"), pick, GROUP, "n_facts", ["doc_id"],
                 hot_rows).where(F.col("doc_id") != F.col("__c.doc"))
     forms = df.groupBy(*GROUP, F.col("__c.matcher").alias("matcher"),
                        F.col("__c.form").alias("mine"),
-                       m.form(F.col("__c.matcher"), "value").alias("form")).agg(
+                       m.form(F.col("__c.matcher"), "value", kinds).alias("form")).agg(
         F.count("*").alias("n"))
-    judged = m.with_verdict(forms, F.col("matcher"), "mine", "form")
+    judged = m.with_verdict(forms, F.col("matcher"), "mine", "form", kinds=kinds)
     found = judged.where(m.agrees("verdict")).groupBy(*GROUP).agg(F.sum("n").alias("agreeing"))
     return chosen.select(*GROUP).join(found, GROUP, "left").select(
         *GROUP, F.coalesce("agreeing", F.lit(0)).alias("agreeing"))

@@ -75,7 +75,7 @@ def one_active_job(requests: DataFrame, jobs: DataFrame,
         .alias("created"))
 
 
-def flagged_accounts(accounts: DataFrame, flag: str = "Verify_Requested",
+def flagged_accounts(accounts: DataFrame, flag: str = "DV_Requested",
                      cod_only: bool = False) -> DataFrame:
     """I3. Accounts whose request flag is set and whose id is a number, as requests; with
     ``cod_only`` only those paying cash on delivery."""
@@ -90,10 +90,10 @@ def flagged_accounts(accounts: DataFrame, flag: str = "Verify_Requested",
         df = df.where(t.is_cod("Credit_Terms"))
     return df.select(
         "account_id", col("Inventory_Customer_Number").alias("customer_number"),
-        F.substring(F.coalesce(col("Verify_Reason"), F.lit("")), 1, 500).alias("reason"),
+        F.substring(F.coalesce(col("DV_Request_Reason"), F.lit("")), 1, 500).alias("reason"),
         F.lit("YES").alias("document_status"),
-        F.when(col("Verify_By") != "", col("Verify_By")).alias("requested_by_email"),
-        F.when(col("Verify_At") != "", col("Verify_At")).alias("requested_at"),
+        F.when(col("DV_Requested_By") != "", col("DV_Requested_By")).alias("requested_by_email"),
+        F.when(col("DV_Requested_At") != "", col("DV_Requested_At")).alias("requested_at"),
         F.lit("crm_button").alias("source"))
 
 

@@ -1,6 +1,9 @@
 """Session settings the library relies on, and where lineage is cut."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffles at run time and splits skewed join partitions; forcing the split lets it
 # happen even where it costs one more exchange.
@@ -21,12 +24,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_ready(spark: SparkSession, fallback: str | None = None) -> bool:
-    """True when ``checkpoint()`` may be used. The folder named in ``spark.checkpoint.dir`` wins;
-    ``fallback`` is only for sessions that name none, such as tests."""
+def checkpoint_ready(spark: SparkSession, required: bool = False) -> bool:
+    """True when ``checkpoint()`` may be used: a folder is set or named in ``spark.checkpoint.dir``.
+    Only a local session, where every task shares one disk, gets a folder of its own."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        if named or fallback:
-            sc.setCheckpointDir(named or fallback)
-    return sc.getCheckpointDir() is not None
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+        if named is not None:
+            sc.setCheckpointDir(named)
+    ready = sc.getCheckpointDir() is not None
+    if required and not ready:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return ready
+
+
+def keep(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several later steps read, and read it back. It cuts the lineage, survives
+    lost executors, and unlike a checkpoint keeps column pruning, filters at the scan and sizes.
+    It lies in the shared folder of ``checkpoint_ready``, under a name of its own."""
+    spark = df.sparkSession
+    checkpoint_ready(spark, required=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
