@@ -31,29 +31,65 @@ def _shared_letters(needle: np.ndarray, text: np.ndarray, size: int) -> np.ndarr
     return shared
 
 
+def _least_edits(needle: str, text: str) -> np.ndarray:
+    """For every end in the text: the fewest edits that turn the needle into some piece of text
+    ending there (Myers' bit-vector scan, one step per letter whatever the needle's length)."""
+    n = len(needle)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    at = dict.fromkeys(text, 0)
+    for i, letter in enumerate(needle):
+        if letter in at:
+            at[letter] |= 1 << i
+    plus, minus, edits = full, 0, n
+    out = np.empty(len(text), dtype=np.int32)
+    for j, letter in enumerate(text):
+        eq = at[letter]
+        across = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (full & ~(across | plus))
+        down = plus & across
+        if up & top:
+            edits += 1
+        elif down & top:
+            edits -= 1
+        up, down, rows = (up << 1) & full, (down << 1) & full, eq | minus
+        plus, minus = down | (full & ~(rows | up)), up & rows
+        out[j] = edits
+    return out
+
+
 def closest_window(needle: str, text: str, floor: float) -> tuple[float, str] | None:
     """Window of the whole text, as long as the needle give or take one, that is most similar to
-    it; null below ``floor``. Windows whose letters alone cannot reach the best ratio so far are
-    not compared. The first of equally good windows wins, shorter sizes first."""
+    it; null below ``floor``. Of equally good windows the shorter, then the first one wins.
+
+    Two upper bounds of the ratio leave few windows to compare: the letters a window shares with
+    the needle, and the edits needed to turn the needle into anything that ends where it ends
+    (letters left unmatched on both sides are at least as many as the edits).
+    Windows are compared from the best bound down until no bound reaches the best ratio.
+    """
     n = len(needle)
     if n == 0 or len(text) < n:
         return None
     pin, hay = (np.frombuffer(s.encode("ascii"), dtype=np.uint8) for s in (needle, text))
-    best, found = floor, None
+    sizes = [s for s in (n - 1, n, n + 1) if 0 < s <= len(text)]
+    bounds = [2.0 * _shared_letters(pin, hay, s) / (s + n) for s in sizes]
+    if all(b.max() < floor for b in bounds):
+        return None
+    edits = _least_edits(needle, text)
+    queue = []
+    for rank, (size, bound) in enumerate(zip(sizes, bounds, strict=True)):
+        bound = np.minimum(bound, 1.0 - edits[size - 1:] / (size + n))
+        queue += [(-bound[i], rank, int(i)) for i in np.flatnonzero(bound >= floor)]
+    best, place, found = floor, None, None
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(needle)
-    for size in (n - 1, n, n + 1):
-        if not 0 < size <= len(text):
-            continue
-        bound = 2.0 * _shared_letters(pin, hay, size) / (size + n)
-        for at in np.flatnonzero(bound >= floor):
-            if bound[at] < best:
-                continue
-            window = text[at:at + size]
-            matcher.set_seq1(window)
-            ratio = matcher.ratio()
-            if ratio > best or (found is None and ratio >= floor):
-                best, found = ratio, window
+    for bound, rank, i in sorted(queue):
+        if -bound < best:
+            break
+        window = text[i:i + sizes[rank]]
+        matcher.set_seq1(window)
+        ratio = matcher.ratio()
+        if ratio > best or (ratio == best and (place is None or (rank, i) < place)):
+            best, place, found = ratio, (rank, i), window
     return None if found is None else (best, found)
 
 

@@ -61,7 +61,7 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
         "__text", F.array_join(F.transform(
             F.coalesce("__pages", F.array().cast("array<struct<page_number:int,text:string,"
                                                  "quality_label:string>>")),
-            lambda p: p["text"]), "")).drop("__pages")
+            lambda p: p["text"]), "")).withColumn("__count", F.size("__pages")).drop("__pages")
     value, kind = F.col("value"), F.col("kind")
     asked = ~t.blank(t.strip(value)) & (kind != "choice")
     df = df.withColumn("__here", F.when(asked, _exact(value, kind, F.col("__on.text"))))
@@ -69,7 +69,9 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
     long_enough = F.length("__needle") >= 4
     df = df.withColumn("__near", search(
         F.when(F.col("__here").isNull() & long_enough, F.col("__needle")), F.col("__on.text")))
-    open_ = F.col("__here").isNull() & F.col("__near.ratio").isNull()
+    # the whole document is another text only when it has more than the stated page
+    open_ = (F.col("__here").isNull() & F.col("__near.ratio").isNull()
+             & (F.col("__on").isNull() | (F.col("__count") > 1)))
     df = df.withColumn("__any", F.when(asked & open_, _exact(value, kind, F.col("__text"))))
     # a value exactly on another page needs no window search over the whole document
     df = df.withColumn("__far", search(
@@ -149,16 +151,19 @@ def field_issues(fields: DataFrame, keys: Sequence[str] = DOC) -> DataFrame:
                        "x.i.severity")
 
 
-# The fields the validity rules look at
-VALIDITY_FIELDS = ["valid_from", "valid_to", "valid_until", "date_issued", "date_paid",
-                   "permit_year", "issue_date", "expiry_date", "id_type", "tin"]
+# The fields the validity rules look at, and the column each becomes
+VALIDITY_FIELDS = {"valid_from": "valid_from", "valid_to": "valid_to",
+                   "valid_until": "printed_until", "date_issued": "date_issued",
+                   "date_paid": "date_paid", "permit_year": "permit_year",
+                   "issue_date": "issue_date", "expiry_date": "expiry_date",
+                   "id_type": "id_type", "tin": "tin"}
 
 
-def pivot_fields(fields: DataFrame, keys: Sequence[str], names: Sequence[str],
+def pivot_fields(fields: DataFrame, keys: Sequence[str], names: dict[str, str],
                  value: str = "normalized") -> DataFrame:
     """The named fields of each document side by side (combined before the shuffle)."""
     return fields.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in names])
+        F.max(F.when(F.col("name") == n, F.col(value))).alias(c) for n, c in names.items()])
 
 
 def _iso(x) -> Column:
@@ -178,7 +183,7 @@ def check_validity(docs: DataFrame, today: date,
     kind, now = F.coalesce("document_type", F.lit("OTHER")), F.lit(today)
     issued, paid = _iso(col("date_issued")), _iso(col("date_paid"))
     end = (F.when(kind == "DTI_BN_CERT", _iso(col("valid_to")))
-           .when(kind == "MAYORS_PERMIT", _iso(col("valid_until")))
+           .when(kind == "MAYORS_PERMIT", _iso(col("printed_until")))
            .when(kind == "GOVERNMENT_ID", _iso(col("expiry_date"))))
     start = (F.when(kind == "DTI_BN_CERT", _iso(col("valid_from")))
              .when(kind == "MAYORS_PERMIT", issued)
