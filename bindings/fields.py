@@ -124,7 +124,7 @@ register("ground", {"asked": ASKED, "texts": TEXTS},
         F.sha2("ocr_match", 256).alias("match_hash")),
     f"""
     SELECT sha256, name, CASE WHEN kind = 'choice' THEN 'UNVERIFIABLE' ELSE 'EXACT' END AS grounding,
-        CASE WHEN kind = 'choice' THEN 0.0 ELSE 1.0 END AS score, quality_label AS page_quality,
+        cast(CASE WHEN kind = 'choice' THEN 0 ELSE 1 END AS double) AS score, quality_label AS page_quality,
         CASE WHEN kind <> 'choice' THEN sha256(value) END AS match_hash
     FROM asked JOIN texts USING (sha256)
     WHERE trim(value) <> '' AND (kind = 'choice' OR ({_SQ.format('value')} <> '' AND
