@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from attesta.functions import text as t
 from attesta.operators import decide as d
 from attesta.operators import facts as fa
-from bindings import TODAY, register
+from attesta.session import keep
+from bindings import register
 
 # ---------------------------------------------------------------- shared input frames
 # an account per customer
@@ -129,10 +130,13 @@ register("match_people", {"sups": "SELECT s_suppkey, concat('Cruz, Ana ', CASE W
     lambda sups: fa.match_pairs(sups, "person").select("s_suppkey", "verdict"),
     """SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'DIFFERENT' WHEN s_suppkey % 2 = 0 THEN
        'LIKELY_SAME' ELSE 'SAME' END AS verdict FROM sups""")
-# similarity proper: document pairs that hold near copies (rows only)
-register("match_similar", {"docs": "SELECT doc_id, concat(lang, ' ', text) AS a, concat(text, ' ', source) AS b FROM "
-                           "{documents}"},
-    lambda docs: fa.match_pairs(docs, "business").select("doc_id", "verdict"))
+# similarity proper: names with one letter or with seven letters misread
+register("match_similar", {"names": "SELECT c_custkey, concat('General Merchandise ', c_name) AS a, concat(CASE WHEN "
+                           "c_custkey % 2 = 0 THEN 'Genexal Merchandise ' ELSE 'Gxnxrxl Mxrchxndxsx ' END, c_name) AS b "
+                           "FROM {customer}"},
+    lambda names: fa.match_pairs(names, "business").select("c_custkey", "verdict"),
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'LIKELY_SAME' ELSE 'DIFFERENT' END AS verdict
+       FROM names""")
 
 register("facts_cross_check", {"facts": FACTS},
     lambda facts: fa.cross_check(facts).select("account_id", "attribute", "status", "severity"),
@@ -236,7 +240,7 @@ _PCOLS = ("account_id", "target_field", "current_value", "proposed_value", "acti
 
 
 def _propose(accounts, facts):
-    chosen = _chosen(facts)
+    chosen = keep(_chosen(facts), "chosen")
     formed = fa.account_forms(accounts, chosen)
     checks = fa.cross_check(facts)
     return d.propose_changes(chosen, formed, checks), checks
@@ -388,9 +392,9 @@ CONTACTS = ("SELECT cast(o_custkey AS string) AS account_id, o_orderkey AS conta
 
 
 def _activation(accounts, facts, people):
-    chosen = _chosen(facts)
+    chosen = keep(_chosen(facts), "chosen")
     formed = fa.account_forms(accounts, chosen)
-    proposals = d.propose_changes(chosen, formed, fa.cross_check(facts))
+    proposals = keep(d.propose_changes(chosen, formed, fa.cross_check(facts)), "proposals")
     contacts = people.withColumn("primary", F.col("prim")).withColumn(
         "roles", F.create_map(F.lit("Contact_of"), F.col("role")))
     return d.activation_checks(formed, contacts, chosen, proposals)
