@@ -40,15 +40,14 @@ def form(kind, x, kinds=ALL_KINDS) -> Column:
     """The form of a value for its matcher; null when the matcher cannot use it. ``kind`` may be a
     column; naming the ``kinds`` it can hold keeps the expression small."""
     kind, x = t._c(kind), t._c(x)
-    d = t.digits(x)
     person = F.array_join(F.array_sort(F.array_distinct(person_tokens(x))), " ")
     forms = {
-        "person": F.when(person != "", person),
+        "person": F.nullif(person, F.lit("")),
         "business": t.alnum(t.business_key(x)),
         "address": F.array_join(address_tokens(x), " "),
-        "tin": F.when(F.length(d) >= 9, F.substring(d, 1, 9)),
-        "tin_branch": F.when(F.length(d) >= 9, F.concat_ws(
-            "-", F.substring(d, 1, 9), F.regexp_replace(F.substring(d, 10, 99), "^0+", ""))),
+        "tin": t.let(t.digits(x), lambda d: F.when(F.length(d) >= 9, F.substring(d, 1, 9))),
+        "tin_branch": t.let(t.digits(x), lambda d: F.when(F.length(d) >= 9, F.concat_ws(
+            "-", F.substring(d, 1, 9), F.regexp_replace(F.substring(d, 10, 99), "^0+", "")))),
         "email": F.lower(t.strip(x)),
         "phone": t.phone_key(x),
         "business_form": t.business_form(x, F.lit(None)),
@@ -71,13 +70,14 @@ def _person(a: Column, b: Column) -> Column:
 
 
 def _address(a: Column, b: Column, clash: Column) -> Column:
-    wa, wb = _words(a), _words(b)
-    common = F.size(F.array_intersect(wa, wb))
-    small = F.least(F.size(wa), F.size(wb))
-    return (F.when(clash, DIFFERENT)
-            .when((small > 0) & (common == small), SAME)
-            .when(common / F.greatest(small, F.lit(1)) >= 0.75, LIKELY)
-            .otherwise(DIFFERENT))
+    def overlap(wa, wb):
+        common = F.size(F.array_intersect(wa, wb))
+        small = F.least(F.size(wa), F.size(wb))
+        return (F.when((small > 0) & (common == small), SAME)
+                .when(common / F.greatest(small, F.lit(1)) >= 0.75, LIKELY)
+                .otherwise(DIFFERENT))
+    return F.when(clash, DIFFERENT).otherwise(t.let(_words(a), lambda wa: t.let(
+        _words(b), lambda wb: overlap(wa, wb))))
 
 
 _UNDECIDED = "?"

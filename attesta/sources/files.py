@@ -9,7 +9,8 @@ from attesta.functions.similarity import office_kind
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """A1. Every file below ``path``: path, file_name, size, modified, content."""
+    """A1. Every file below ``path``: path, file_name, size, modified, content. Spark's file sources
+    skip files of zero bytes; those only show where the list of references comes from elsewhere."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path))
     return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),

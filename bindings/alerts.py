@@ -107,9 +107,9 @@ register("suppress", {"runs": RUNS},
 register("note", {"alerts": EVENT_ALERTS, "decided": "SELECT DISTINCT cast(user_id AS string) AS account_id, 'ACTIVE' AS "
                   "recommendation, 'ACTIVATE' AS decision, 'fine' AS reason FROM {events}",
                   "reqs": "SELECT DISTINCT cast(user_id AS string) AS account_id, 0 AS rule_pos, 'GIS' AS "
-                  "document_type, 'VALID' AS status FROM {events} WHERE user_id % 2 = 0",
+                  "document_type, 'VALID' AS status FROM {events} WHERE event_type = 'signup' AND value > 50",
                   "applied": "SELECT DISTINCT cast(user_id AS string) AS account_id, 1 AS pos, 'Email' AS target_field, "
-                  "'SHADOW' AS status FROM {events} WHERE user_id % 3 = 0"},
+                  "'SHADOW' AS status FROM {events} WHERE event_type = 'purchase' AND value > 60"},
     lambda alerts, decided, reqs, applied: al.render_note(
         alerts, decided, decided, reqs, applied, DAY),
     f"""
@@ -158,9 +158,9 @@ register("latest", {"assessed": ASSESSED},
 
 LEDGER = ("SELECT 'expiry' AS kind, concat_ws('|', cast(o_custkey AS string), o_orderpriority, "
           "cast(cast(o_orderdate AS date) + cast(o_orderkey % 900 AS int) AS string), CASE WHEN o_orderkey % 2 = 0 THEN "
-          "'expired' ELSE '30 days' END) AS ref FROM {orders} WHERE o_orderkey % 5 < 2 UNION ALL SELECT 'renewed', "
+          "'expired' ELSE '30 days' END) AS ref FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT 'renewed', "
           "concat_ws('|', cast(o_custkey AS string), o_orderpriority, cast(cast(o_orderdate AS date) + cast(o_orderkey % "
-          "900 AS int) AS string)) FROM {orders} WHERE o_orderkey % 7 = 0")
+          "900 AS int) AS string)) FROM {orders} WHERE o_totalprice > 420000")
 _DUE = _LATEST + f"""
     , dd AS (SELECT *, date_diff('day', DATE '{TODAY}', cast(valid_until AS date)) AS days_left FROM latest
              WHERE status <> 'MISSING'),
@@ -186,7 +186,7 @@ register("expiry", {"assessed": ASSESSED, "ledger": LEDGER},
     FROM (SELECT *, strftime(cast(valid_until AS date), '%-d %b %Y') AS dt FROM due)""")
 
 UPLOADS = ("SELECT cast(o_custkey AS string) AS account_id, max(o_orderdate) + INTERVAL '5' DAY AS Created_Time FROM "
-           "{orders} WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
+           "{orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey")
 register("recheck", {"assessed": ASSESSED, "ledger": LEDGER, "uploads": UPLOADS},
     lambda assessed, ledger, uploads: _recheck(assessed, ledger, uploads),
     _DUE + """
@@ -218,7 +218,7 @@ register("renewals", {"assessed": ASSESSED, "ledger": LEDGER},
 
 UPDATES = ("SELECT cast(c_custkey AS string) AS account_id, 1 AS pos, 'Email' AS target_field, CASE WHEN c_custkey % 2 = "
            "0 THEN 'APPLIED' ELSE 'SHADOW' END AS status FROM {customer} UNION ALL SELECT cast(c_custkey AS string), 9, "
-           "'Customer_Status', 'APPLIED' FROM {customer} WHERE c_custkey % 5 = 0")
+           "'Customer_Status', 'APPLIED' FROM {customer} WHERE c_acctbal > 7000")
 ACTS = ("SELECT cast(c_custkey AS string) AS account_id, 0 AS pos, 'payment_terms' AS key, 'L' AS label, CASE WHEN "
         "c_custkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, 'd' AS detail FROM {customer} UNION ALL SELECT "
         "cast(c_custkey AS string), 1, 'tin', 'L', CASE WHEN c_custkey % 4 = 0 THEN 'AFTER_UPDATE' ELSE 'FAIL' END, 'd' "
@@ -236,5 +236,5 @@ register("verification_log", {"formed": _FORMED, "docs": DOCS, "acts": ACTS, "up
         checks_met, concat_ws(', ', gaps, CASE WHEN c_custkey % 3 = 0 THEN 'COD' END, CASE WHEN c_custkey % 4 > 0 THEN
         'TIN' END) AS missing, CASE WHEN c_custkey % 2 = 0 THEN 'Email' ELSE '' END AS applied,
         CASE WHEN c_custkey % 2 = 1 THEN 'Email' ELSE '' END AS shadow, coalesce(n, 0) AS documents_found,
-        CASE WHEN c_custkey % 5 = 0 THEN 'Active (automatic)' ELSE 'not changed' END AS customer_status
+        CASE WHEN c_acctbal > 7000 THEN 'Active (automatic)' ELSE 'not changed' END AS customer_status
     FROM formed f LEFT JOIN g USING (account_id) LEFT JOIN found USING (account_id)""")

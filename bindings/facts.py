@@ -201,7 +201,7 @@ register("consensus", {"facts": FACTS},
 
 register("business_form", {"accounts": ACCOUNTS, "types": "SELECT DISTINCT cast(o_custkey AS string) AS "
                            "account_id, 'taxpayer_type' AS attribute, 'SOLE PROPRIETOR' AS value FROM {orders} "
-                           "WHERE o_orderkey % 50 = 0"},
+                           "WHERE o_totalprice > 480000"},
     lambda accounts, types: fa.account_forms(accounts, types).select("account_id", "business_form"),
     f"""SELECT account_id, CASE WHEN t.value IS NOT NULL THEN 'SOLE_PROPRIETORSHIP' ELSE {_FORM} END AS
         business_form FROM accounts LEFT JOIN types t USING (account_id)""")
@@ -274,8 +274,8 @@ PROPOSALS = ("SELECT cast(o_custkey AS string) AS account_id, CASE o_orderpriori
              "GROUP BY o_custkey, o_orderpriority")
 CRITICAL = ("SELECT cast(c_custkey AS string) AS account_id, 'tin' AS attribute, 3 AS attribute_pos, 'CONFLICT' AS "
             "status, CASE WHEN c_custkey % 4 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM {customer} "
-            "WHERE c_custkey % 2 = 0 UNION ALL SELECT cast(c_custkey AS string), 'owner_name', 0, 'CONFLICT', "
-            "'CRITICAL' FROM {customer} WHERE c_custkey % 12 = 0")
+            "WHERE c_acctbal > 4000 UNION ALL SELECT cast(c_custkey AS string), 'owner_name', 0, 'CONFLICT', "
+            "'CRITICAL' FROM {customer} WHERE c_acctbal > 9000")
 _HELD = """
     , held AS (SELECT account_id, string_agg(attribute, ', ' ORDER BY attribute_pos) AS h FROM crit
                WHERE severity = 'CRITICAL' GROUP BY account_id)"""
@@ -299,7 +299,7 @@ DOCS = ("SELECT cast(o_custkey AS string) AS account_id, cast(o_orderkey AS stri
         "< 2 THEN cast(cast(o_orderdate AS date) AS string) END AS valid_until FROM {orders}")
 _FORMED = ("SELECT cast(c_custkey AS string) AS account_id, CASE c_mktsegment WHEN 'BUILDING' THEN "
            "'SOLE_PROPRIETORSHIP' WHEN 'FURNITURE' THEN 'CORPORATION' WHEN 'MACHINERY' THEN 'PARTNERSHIP' ELSE "
-           "'UNKNOWN' END AS business_form, c_nationkey, c_custkey FROM {customer}")
+           "'UNKNOWN' END AS business_form, c_nationkey, c_custkey, c_acctbal FROM {customer}")
 _REQ = """
     , rq(business_form, rule_pos, document_type) AS (VALUES
         ('SOLE_PROPRIETORSHIP', 0, 'BIR_2303'), ('SOLE_PROPRIETORSHIP', 1, 'DTI_BN_CERT'),
@@ -374,7 +374,7 @@ STORED = ("SELECT cast(o_custkey AS string) AS account_id, cast(o_orderkey AS st
           "CASE WHEN o_orderkey % 6 < 2 THEN 'why' END AS status_detail FROM {orders}")
 EXTRACTED = ("SELECT cast(o_orderkey AS string) AS sha256, CASE WHEN o_orderkey % 5 = 0 THEN 'FAILED' ELSE "
              "'EXTRACTED' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'timeout' END AS error FROM {orders} "
-             "WHERE o_orderkey % 7 > 0")
+             "WHERE o_totalprice > 60000")
 _UNUSABLE = """SELECT account_id, doc_id, doc_pos, file_name, coalesce(x.status, 'MISSING') AS status,
         error AS detail, 'not_extracted' AS list FROM stored d LEFT JOIN extracted x USING (sha256)
     WHERE d.status = 'STORED' AND coalesce(x.status, 'MISSING') <> 'EXTRACTED'
@@ -484,7 +484,7 @@ register("recommend", {"docs": DOCS, "formed": _FORMED, "texts": TEXTS, "acts":
 # ---------------------------------------------------------------- F14-F16
 PROBLEMS = ("SELECT cast(o_custkey AS string) AS account_id, cast(o_orderkey AS string) AS doc_id, o_orderkey AS "
             "doc_pos, concat('f', cast(o_orderkey AS string)) AS file_name, 'GIS' AS document_type, 0 AS "
-            "issue_pos, 'BRANCH_MISMATCH' AS code, 'm' AS message FROM {orders} WHERE o_orderkey % 40 = 0")
+            "issue_pos, 'BRANCH_MISMATCH' AS code, 'm' AS message FROM {orders} WHERE o_totalprice > 485000")
 _BLOCK = """
     , bl AS (SELECT account_id, 0 AS st, attribute_pos AS p, 'documents disagree on ' || attribute AS problem
              FROM crit WHERE severity = 'CRITICAL'
@@ -523,14 +523,14 @@ RECS = ("SELECT cast(c_custkey AS string) AS account_id, CASE WHEN c_custkey % 2
         "'CORPORATION' END AS business_form, CASE WHEN c_custkey % 7 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS "
         "recommendation FROM {customer}")
 KNOWN = ("SELECT cast(c_custkey AS string) AS account_id, 'tin' AS attribute, CASE WHEN c_custkey % 3 = 0 THEN "
-         "cast(0.5 AS double) ELSE cast(0.96 AS double) END AS confidence FROM {customer} WHERE c_custkey % 11 > 0 "
+         "cast(0.5 AS double) ELSE cast(0.96 AS double) END AS confidence FROM {customer} WHERE c_acctbal > 0 "
          "UNION ALL SELECT cast(c_custkey AS string), CASE WHEN c_custkey % 2 = 0 THEN 'owner_name' ELSE "
          "'registered_name' END, cast(0.97 AS double) FROM {customer}")
 SETTLED = ("SELECT cast(c_custkey AS string) AS account_id, 1 AS pos, CASE WHEN c_custkey % 6 = 0 THEN "
            "'Tax_Identification_Number_TIN' ELSE 'Email' END AS target_field, CASE WHEN c_custkey % 13 = 0 THEN "
            "'HOLD' ELSE 'MATCH' END AS action FROM {customer}")
 STEPS = ("SELECT cast(c_custkey AS string) AS account_id, 'Email' AS target_field, CASE WHEN c_custkey % 4 = 0 THEN "
-         "'AUTO' ELSE 'REVIEW' END AS decision, 'gate' AS reason FROM {customer} WHERE c_custkey % 5 < 4")
+         "'AUTO' ELSE 'REVIEW' END AS decision, 'gate' AS reason FROM {customer} WHERE c_acctbal > 2000")
 LATE = ("SELECT cast(c_custkey AS string) AS account_id, 1 AS pos, 'k' AS key, 'Label' AS label, CASE c_custkey % 10 "
         "WHEN 1 THEN 'FAIL' WHEN 2 THEN 'AFTER_UPDATE' WHEN 4 THEN 'AFTER_UPDATE' ELSE 'PASS' END AS status, 'Email' "
         "AS target_field, 'detail' AS detail FROM {customer}")

@@ -128,7 +128,7 @@ CLOSINGS = ("SELECT cast(o_orderkey AS string) AS review_id, CASE o_orderkey % 3
             "'Approved' ELSE 'Waiting for Documents' END AS status, 'Max' AS reviewer, CASE WHEN o_orderkey % 5 > 1 THEN "
             "'note' ELSE ' ' END AS notes, o_orderkey % 2 = 0 AS values_compared, o_orderdate AS ts FROM {orders} UNION ALL "
             "SELECT cast(o_orderkey AS string), 'Rejected', 'Zoe', 'late', true, o_orderdate + INTERVAL '1' DAY FROM "
-            "{orders} WHERE o_orderkey % 7 = 0")
+            "{orders} WHERE o_totalprice > 420000")
 register("close_reviews", {"reviews": REVIEWS, "closings": CLOSINGS},
     lambda reviews, closings: rv.close_reviews(reviews, closings)[0].select(
         "review_id", "status", "reviewer", "reviewer_notes"),
@@ -227,10 +227,10 @@ _LOGGED = {"reviews": "SELECT cast(o_orderkey AS string) AS review_id, o_orderke
            "l_partkey % 3 WHEN 0 THEN 'Approve' WHEN 1 THEN 'Edit' ELSE 'Reject' END AS decision, CASE l_partkey % 4 WHEN 0 "
            "THEN 'CONFLICT' ELSE 'APPLIED' END AS outcome, cast(NULL AS double) AS confidence FROM {lineitem}",
            "ledger": "SELECT 'review' AS kind, concat('engine:', cast(o_orderkey AS string), ':Applied') AS ref FROM {orders} "
-           "WHERE o_orderkey % 15 = 0"}
+           "WHERE o_totalprice > 450000"}
 _CLOSED = """
     , cl AS (SELECT *, closed_at < TIMESTAMP '1999-01-01' - INTERVAL 3 DAY AS silent FROM reviews WHERE status <> 'In Review'
-             AND NOT (status = 'Applied' AND number % 15 = 0))"""
+             AND NOT (status = 'Applied' AND review_id IN (SELECT split_part(ref, ':', 2) FROM ledger)))"""
 def _review_log(i):
     from attesta.operators.alerts import review_log
     return lambda reviews, lines, ledger: review_log(reviews, lines, ledger, "1999-01-01 00:00:00")[i]
@@ -283,7 +283,7 @@ register("one_active_job", {"reqs": "SELECT cast(user_id AS string) AS account_i
                             "FROM {events} WHERE event_type IN ('signup', 'purchase')",
                             "jobs": "SELECT cast(user_id AS string) AS account_id, concat('j', cast(event_id AS string)) AS "
                             "job_id, CASE event_type WHEN 'error' THEN 'READING' ELSE 'READ' END AS status FROM {events} "
-                            "WHERE event_id % 40 = 0"},
+                            "WHERE value > 90"},
     lambda reqs, jobs: rq.one_active_job(reqs, jobs).select("request_id", "job_id", "created"),
     """
     , a AS (SELECT account_id, min(job_id) AS act FROM jobs WHERE status = 'READING' GROUP BY account_id),
@@ -304,7 +304,7 @@ register("reconcile", {"reqs": "SELECT cast(c_custkey AS string) AS account_id,
                        "'NO' END AS document_status, cast(c_custkey % 12 AS int) AS attachment_count, cast(c_custkey % 100 AS "
                        "string) AS customer_number FROM {customer}",
                        "refs": "SELECT cast(o_custkey AS string) AS account_id, CASE WHEN o_orderkey % 3 = 0 THEN 'FILE_FIELD' "
-                       "ELSE 'ATTACHMENT' END AS source FROM {orders} WHERE o_custkey % 5 > 0",
+                       "ELSE 'ATTACHMENT' END AS source FROM {orders} WHERE o_orderstatus <> 'P'",
                        "accts": "SELECT cast(c_custkey AS string) AS account_id, cast(c_custkey AS string) AS "
                        "Inventory_Customer_Number FROM {customer}"},
     lambda reqs, refs, accts: rq.reconcile_reported(reqs, refs, accts).select(
