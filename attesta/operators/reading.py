@@ -16,26 +16,21 @@ def assemble_page_text(words: DataFrame,
     three letters or more) counted for C2. One page is one group."""
     page = list(page)
     word = F.trim("text")
-    kept = words.where((word != "") & (F.col("conf") >= 0)).withColumn("text", word)
-    sure = ((F.col("conf") >= 70) & (F.length("text") >= 3)
-            & F.col("text").rlike(r"^\p{L}+$"))
-    lines = kept.groupBy(*page, "block", "par", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
-                                 lambda w: w["text"]), " ").alias("__text"),
-        F.sum("conf").alias("__conf"), F.count("*").alias("__n"),
-        F.count_if(sure).alias("__sure"))
-    pages = lines.groupBy(*page).agg(
+    kept = (word != "") & (F.col("conf") >= 0)
+    sure = (kept & (F.col("conf") >= 70) & (F.length(word) >= 3) & word.rlike(r"^\p{L}+$"))
+    lines = words.groupBy(*page, "block", "par", "line").agg(
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("block", "par", "line", "__text"))),
-            lambda x: x["__text"]), "\n").alias("text"),
-        F.round(F.sum("__conf") / F.sum("__n"), 1).alias("mean_conf"),
+            F.array_sort(F.collect_list(F.when(kept, F.struct("pos", word.alias("text"))))),
+            lambda w: w["text"]), " ").alias("__text"),
+        F.sum(F.when(kept, F.col("conf"))).alias("__conf"), F.count_if(kept).alias("__n"),
+        F.count_if(sure).alias("__sure"))
+    filled = F.when(F.col("__n") > 0, F.struct("block", "par", "line", "__text"))
+    return lines.groupBy(*page).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(filled)), lambda x: x["__text"]),
+                     "\n").alias("text"),
+        F.coalesce(F.round(F.sum("__conf") / F.nullif(F.sum("__n"), F.lit(0)), 1), F.lit(0.0))
+        .alias("mean_conf"),
         F.sum("__n").alias("word_count"), F.sum("__sure").alias("readable"))
-    every = words.select(*page).distinct()
-    return every.join(pages, page, "left").select(
-        *page, F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("mean_conf", F.lit(0.0)).alias("mean_conf"),
-        F.coalesce("word_count", F.lit(0)).alias("word_count"),
-        F.coalesce("readable", F.lit(0)).alias("readable"))
 
 
 def choose_best_reading(readings: DataFrame, page: Sequence[str] = ("sha256", "page_number"),

@@ -237,7 +237,7 @@ def test_form_cells(spark, rows):
 
 
 GROUND = [("text", "RIZAL STREET", 1, "EXACT"), ("date", "June 30, 2028", 1, "EXACT"),
-          ("name", "MARICHELE FLOREZ", 1, "FUZZY"), ("tin", "234-567-891", 1, "CONFLICT"),
+          ("name", "GABRIELLA SANTOS", 1, "FUZZY"), ("tin", "234-567-891", 1, "CONFLICT"),
           ("text", "ABSENT VALUE HERE", 1, "NOT_FOUND"), ("code", "99", 1, "NOT_FOUND"),
           ("choice", "Branch", 1, "UNVERIFIABLE"), ("text", None, 1, None),
           ("text", "SECOND PAGE TEXT", 1, "EXACT"), ("text", "SECOND PAGE TEXT", None, "EXACT"),
@@ -246,7 +246,7 @@ GROUND = [("text", "RIZAL STREET", 1, "EXACT"), ("date", "June 30, 2028", 1, "EX
 
 def test_grounding_confidence_issues(spark, rows):
     pages = spark.createDataFrame(
-        [("s", "v", 1, "12 Rizal Street  valid 30 June 2028 MARICHELLE FLORES TIN 234-567-890 "
+        [("s", "v", 1, "12 Rizal Street  valid 30 June 2028 GABRIELA SANTOS TIN 234-567-890 "
                        "Block 23 Sampaguita", "GOOD"),
          ("s", "v", 2, "second page text", "POOR")],
         "sha256 string, version string, page_number int, grounding_text string, "
@@ -260,7 +260,7 @@ def test_grounding_confidence_issues(spark, rows):
     for r, (*_, want) in zip(got, GROUND, strict=True):
         assert r["grounding"] == want, r
     assert got[1]["ocr_match"] == "30 June 2028" and got[0]["confidence"] == 0.95
-    assert got[2]["confidence"] == 0.8 and got[2]["ocr_match"] == "MARICHELLEFLORE"
+    assert got[2]["confidence"] == 0.8 and got[2]["ocr_match"] == "GABRIELASANTOS"
     assert got[9]["confidence"] == 0.71            # no page stated: the worst page's quality
     assert got[11]["confidence"] == 0.71 and got[7]["confidence"] is None
     codes = {(r["field"], r["code"]) for r in rows(fi.field_issues(
@@ -301,13 +301,13 @@ def test_validity(spark, rows):
 def test_extraction_from_model_output(spark, rows):
     reg = ('{"document_type": "BIR_2303", "fields": {"tin": {"value": "234-567-890-00012", "page": 1},'
            '"registering_office": {"value": "Head Office", "page": 1}, "ocn": {"value": '
-           '"041RC20260000005583", "page": 1.5}, "rdo_code": {"value": "56", "page": null},'
+           '"041RC20250000001234", "page": 1.5}, "rdo_code": {"value": "56", "page": null},'
            '"taxpayer_name": {"value": "  ", "page": 1}}, "other_fields": [{"label": "Tel",'
            '"value": "8123", "page": 1}], "legibility_notes": "stamp"}')
     outputs = spark.createDataFrame([("s", "v", "MAYORS_PERMIT", reg)],
                                     "sha256 string, version string, expected_type string, "
                                     "json string")
-    pages = spark.createDataFrame([("s", "v", 1, "TIN 234 567 890 00012 OCN 041RC20260000005583",
+    pages = spark.createDataFrame([("s", "v", 1, "TIN 234 567 890 00012 OCN 041RC20250000001234",
                                     "FAIR")], "sha256 string, version string, page_number int, "
                                               "grounding_text string, quality_label string")
     out = verify.extract(outputs, pages, TODAY)
