@@ -1,7 +1,8 @@
-"""The two Python helpers: text similarity, and the closest window of a long text.
+"""The Python helpers: text similarity, the closest window of a long text, zip listing.
 
-Both get Arrow batches and are only fed what plain expressions could not decide: the caller
-passes null for every other row.
+All get Arrow batches and are only fed what plain expressions could not decide: the caller passes
+null for every other row. They are declared non-deterministic, though they are not, so that the
+optimizer neither repeats them nor moves filters on their results below joins and aggregates.
 """
 
 from difflib import SequenceMatcher
@@ -15,13 +16,16 @@ _WINDOW = StructType([StructField("ratio", DoubleType()), StructField("matched",
 
 
 @F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings, null when either is null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio()
                       if x is not None and y is not None else None
                       for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+similarity = _similarity.asNondeterministic()
+
+
 def _shared_letters(needle: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
     """For every window of ``size``: how many letters it shares with the needle at most."""
     shared = np.zeros(len(text) - size + 1, dtype=np.int32)
@@ -101,11 +105,11 @@ def window_search(floor: float):
                 for x, y in zip(needle, text, strict=True)]
         return pd.DataFrame({"ratio": [r[0] if r else None for r in rows],
                              "matched": [r[1] if r else None for r in rows]})
-    return search
+    return search.asNondeterministic()
 
 
 @F.pandas_udf(StringType())
-def office_kind(content: pd.Series) -> pd.Series:
+def _office_kind(content: pd.Series) -> pd.Series:
     """xlsx or docx when the zip archive holds their folder, else zip; null for null."""
     import io
     import zipfile
@@ -122,3 +126,6 @@ def office_kind(content: pd.Series) -> pd.Series:
                 return ext
         return "zip"
     return content.map(kind)
+
+
+office_kind = _office_kind.asNondeterministic()

@@ -368,3 +368,15 @@ def test_contact_check_details(spark, rows):
     assert got["s"][0] == "PASS"
     assert got["t"] == ("FAIL", "no Contact with Contact of = Accounting or marked as the primary "
                                 "contact")
+
+
+def test_agreeing_is_the_same_for_hot_groups(spark, rows):
+    from attesta.session import keep
+    facts = facts_of(spark, [("a", "business_name", f"SOL GRILL {'X' * (i % 3)}", f"d{i}", 0.9)
+                             for i in range(30)] + [("b", "tin", "234567890", "d1", 0.9),
+                                                    ("b", "tin", "234-567-890-000", "d2", 0.9)])
+    facts = keep(facts, "facts")
+    best = fa.choose_best(facts)
+    for hot in (2, 10**6):
+        got = rows(fa.agreeing_documents(best, facts, hot_rows=hot), "account_id")
+        assert [r["agreeing"] for r in got] == [29, 1]
