@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_lines, token_counts
+from . import decontaminate, order_minhash, packing, quality_lines, token_counts
 from .common import prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -106,3 +106,8 @@ def op5(spark, sf_dir):
 @register("op6_token_counts")
 def op6(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@register("op7_near_duplicates")
+def op7(spark, sf_dir):
+    return order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
