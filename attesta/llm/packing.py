@@ -10,6 +10,8 @@ Defined cases: a null or empty text is the closing id alone; repeated rows are p
 columns are not carried (ids and places are enough to join them back).
 """
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +25,7 @@ END_ID = 2
 #: Pieces in a group: enough for a good fit, few enough for one task.
 GROUP_PIECES = 20_000
 #: Words a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -34,28 +36,50 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds(dict):
+class WordIds(dict):
     """Ids of a space-free stretch of text as little-endian bytes, computed once.
 
     The tokenizer drops white space and no piece of it spans a space, so a text's ids are those of its
-    stretches in turn."""
+    stretches in turn; nor does one span the end of a run of letters, so ASCII marks behind a word are
+    looked up apart. Stretches used since the last turnover are remembered, the rest forgotten."""
 
     def __init__(self, path):
         super().__init__()
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, word):
+        out = self.old.get(word)
+        if out is None:
+            marked = _MARKED.fullmatch(word)
+            if marked:
+                out = self[marked[1]] + self[marked[2]]
+            elif word.isascii() and not word.islower() and word.isalpha():
+                out = self[word.lower()]
+            else:
+                out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
     def text(self, text):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+#: Letters, then ASCII marks.
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+_WORD_IDS = {}
+
+
+def word_ids(path) -> WordIds:
+    """This worker's memory of word ids: it outlives a task."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID,
            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of a document's ids: at most ``sequence`` of them, as 32-bit integers."""
@@ -65,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
                         ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        ids = _WordIds(path)
+        ids = word_ids(path)
         for batch, texts in text_batches(batches):
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), texts, strict=True):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, order_minhash, packing, quality_lines, token_counts
+from . import decontaminate, order_minhash, packing, quality_lines, suffix_dedup, token_counts
 from .common import prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -111,3 +111,9 @@ def op6(spark, sf_dir):
 @register("op7_near_duplicates")
 def op7(spark, sf_dir):
     return order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.find_repeats(docs))
