@@ -392,3 +392,23 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     gone = F.when(cuts == 0, 0).otherwise(gone).cast("long")
     return found.select(doc_id, (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"),
                         (cuts / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the remaining text; a document that is repeated whole goes. A character of which
+    only some bytes remain goes too."""
+    found = find_repeats(docs, doc_id, text)
+    left = found.where((F.octet_length("kept") > 0) | (F.size("removed") == 0))
+    columns = docs.columns
+
+    def decode(batches):
+        for batch in batches:
+            at, kept = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index("kept"))
+            texts = [t if not r else k.decode("utf-8", "ignore") for t, k, r in zip(
+                batch.column(at).to_pylist(), kept.to_pylist(),
+                batch.column(batch.schema.get_field_index("removed")).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == text else batch.column(batch.schema.get_field_index(c))
+                 for c in columns], names=columns)
+
+    return left.mapInArrow(decode, docs.schema)
