@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, order_minhash, packing, quality_lines, suffix_dedup, token_counts
+from . import decontaminate, html_density, order_minhash, packing, quality_lines, suffix_dedup, token_counts
 from .common import prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -67,6 +67,12 @@ def op1(spark, sf_dir):
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in QUALITY_COLUMNS])
 
 
+@register("op2_html_extraction")
+def op2(spark, sf_dir):
+    pages = html_density.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "extracted.text", "extracted.n_chars")
+
+
 @register("op3_packing")
 def op3(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
