@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, order_minhash, packing, quality_lines, suffix_dedup, token_counts
+from . import decontaminate, html_density, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
 from .common import prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -123,3 +123,9 @@ def op7(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.digest(suffix_dedup.find_repeats(docs))
+
+
+@register("op10_toxicity")
+def op10(spark, sf_dir):
+    held_out = toxicity.fold(3, 1)
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out, ~held_out)
