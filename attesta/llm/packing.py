@@ -10,8 +10,6 @@ Defined cases: a null or empty text is the closing id alone; repeated rows are p
 columns are not carried (ids and places are enough to join them back).
 """
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +24,8 @@ END_ID = 2
 GROUP_PIECES = 20_000
 #: Words a worker remembers the ids of.
 REMEMBERED = 300_000
+#: Words encoded in one call.
+TOGETHER = 200
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -47,29 +47,67 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def __missing__(self, word):
         out = self.old.get(word)
         if out is None:
-            marked = _MARKED.fullmatch(word)
-            if marked:
-                out = self[marked[1]] + self[marked[2]]
-            elif word.isascii() and not word.islower() and word.isalpha():
-                out = self[word.lower()]
+            core, marks = _parts(word)
+            if core != word:
+                out = self[core] + (self[marks] if marks else b"")
             else:
                 out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
         self[word] = out
         return out
 
-    def text(self, text):
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-#: Letters, then ASCII marks.
-_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+    def learn(self, words):
+        """Encode the runs of letters among new words many at a time: a call costs more than a word."""
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        old, whole, new = self.old, [], set()
+        for word in words:
+            if word in self:
+                continue
+            known = old.get(word)
+            if known is not None:
+                self[word] = known
+                continue
+            core, marks = _parts(word)
+            if core != word:
+                whole.append((word, core, marks))
+            if core.isalpha() and core not in self and core not in old:
+                new.add(core)
+        new = list(new)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):   # each is one run of letters after the tokenizer's normalising too
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
+        for word, core, marks in whole:
+            self[word] = self[core] + self[marks] if marks else self[core]
+
+    def texts(self, texts):
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+def _parts(word):
+    """The letters of a word (ASCII in lower case) and the ASCII marks behind them."""
+    core = word.rstrip(_MARKS)
+    if core == word and not word.isascii():
+        return word, ""
+    if core.isascii() and core.isalpha():
+        return core.lower(), word[len(core):]
+    return (core, word[len(core):]) if core.isalpha() else (word, "")
+
+
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD_IDS = {}
 
 
@@ -92,8 +130,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
         ids = word_ids(path)
         for batch, texts in text_batches(batches):
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
-                whole = ids.text(raw.decode("utf-8", "surrogatepass")) + end
+            whole_ids = ids.texts([t.decode("utf-8", "surrogatepass") for t in texts])
+            for doc, whole in zip(batch.column(0).to_pylist(), whole_ids, strict=True):
+                whole += end
                 n = len(whole) // 4
                 rows += [(doc, at, min(sequence, n - at), n, whole[4 * at:4 * (at + sequence)])
                          for at in range(0, n, sequence)]
