@@ -15,6 +15,7 @@ Defined cases: a null or empty text has no pre-token and no token; repeated rows
 """
 
 import math
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,9 @@ from .common import text_batches
 
 WORD_START = "▁"
 #: Nodes a worker's trie may have before it starts a new one.
-MOST_NODES = 400_000
+MOST_NODES = 800_000
+#: Words a worker remembers the counts of.
+REMEMBERED = 400_000
 
 
 def vocabulary_path() -> str:
@@ -42,58 +45,81 @@ def unigram_scores(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Nodes are lists [children, best score, pieces on the best path]; the root is the empty prefix."""
+    """A node is a number; ``after`` leads from (node, character) to the next one. ``best`` and
+    ``pieces`` are the forward score of a node and the pieces of its best path; 0 is the empty prefix."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=0.0) - 10.0
+        lengths = {}
+        for piece in scores:
+            lengths.setdefault(piece[-1], set()).add(len(piece))
+        #: Lengths of the pieces that end in a character.
+        self.lengths = {char: sorted(found) for char, found in lengths.items()}
         self.clear()
 
     def clear(self):
-        self.root, self.nodes = [{}, 0.0, 0], 1
+        self.after, self.best, self.pieces = {}, array("d", [0.0]), array("q", [0])
 
     def count(self, word: str) -> int:
         """Pieces of the best path of a word; ties go to fewer pieces."""
-        if self.nodes > MOST_NODES:
+        if len(self.best) > MOST_NODES:
             self.clear()
-        path, node = [self.root], self.root
+        after, path, node = self.after, [0], 0
         for at, char in enumerate(word, 1):
-            after = node[0].get(char)
-            if after is None:
-                after = node[0][char] = self._forward(word, at, path)
-                self.nodes += 1
-            path.append(after)
-            node = after
-        return node[2]
-
-    def _forward(self, word, at, path):
-        size = len(word[at - 1].encode("utf-8", "surrogatepass"))
-        best, pieces = path[-1][1] + size * self.byte_score, path[-1][2] + size
-        for start in range(max(0, at - self.longest), at):
-            score = self.scores.get(word[start:at])
+            edge = node << 21 | ord(char)
+            node = after.get(edge)
+            if node is None:
+                node = after[edge] = len(self.best)
+                self._forward(word, at, char, path)
+            path.append(node)
+        return self.pieces[node]
+
+    def _forward(self, word, at, char, path):
+        best, pieces, score_of = self.best, self.pieces, self.scores.get
+        size = len(char.encode("utf-8", "surrogatepass"))
+        most, fewest = best[path[-1]] + size * self.byte_score, pieces[path[-1]] + size
+        for length in self.lengths.get(char, ()):
+            if length > at:
+                break
+            score = score_of(word[at - length:at])
             if score is not None:
-                before = path[start]
-                total, n = before[1] + score, before[2] + 1
-                if total > best or total == best and n < pieces:
-                    best, pieces = total, n
-        return [{}, best, pieces]
+                before = path[at - length]
+                total, n = best[before] + score, pieces[before] + 1
+                if total > most or total == most and n < fewest:
+                    most, fewest = total, n
+        best.append(most)
+        pieces.append(fewest)
 
 
-class _Counts(dict):
-    """Counts of the words met so far, from the trie."""
+class Counts(dict):
+    """Counts of the words met so far; those not used since the last turnover are forgotten."""
 
     def __init__(self, trie):
         super().__init__()
-        self.trie = trie
+        self.trie, self.old = trie, {}
 
     def __missing__(self, word):
-        if len(self) >= MOST_NODES:
+        n = self.old.get(word)
+        if n is None:
+            n = self.trie.count(WORD_START + word)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        self[word] = n = self.trie.count(WORD_START + word)
+        self[word] = n
         return n
 
 
+_COUNTS = {}
+
+
+def word_counts(path: str) -> Counts:
+    """This worker's counts: they outlive a task."""
+    if path not in _COUNTS:
+        _COUNTS[path] = Counts(Trie(unigram_scores(path)))
+    return _COUNTS[path]
+
+
 def token_counts(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """``doc_id``, ``n_pretokens`` and ``n_tokens`` of every row."""
@@ -101,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "d
     schema = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
     def count(batches):
-        counts = _Counts(Trie(unigram_scores(path)))
+        counts = word_counts(path)
         for batch, texts in text_batches(batches):
             words = [t.translate(_SPACES).decode("utf-8", "surrogatepass").split(" ") for t in texts]
             words = [[w for w in ws if w] for ws in words]
