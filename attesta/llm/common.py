@@ -1,21 +1,17 @@
 """Small helpers the operators of this package share."""
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_ready, keep
 
-__all__ = ["ROWS_PER_BATCH", "SPACED", "keep", "prepared", "read", "run_groups", "text_batches"]
+__all__ = ["ROWS_PER_BATCH", "fold", "keep", "prepared", "read", "run_groups", "text_batches"]
 
 #: Rows of an Arrow batch: texts may be long, and a batch is what a Python worker holds at once.
 ROWS_PER_BATCH = 1000
 
-#: A word between ASCII white space, as bytes of UTF-8.
-SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
-
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Settings the Python steps rely on: batches small enough for whole texts."""
@@ -43,3 +39,8 @@ def text_batches(batches, text: str = "text"):
 def crc_of(doc_id: Column) -> Column:
     """crc32 of an id written as text (null id: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def fold(n: int, rest: int) -> Column:
+    """Whether a document belongs to one fold of ``n``."""
+    return F.pmod(crc_of(F.col("doc_id")), F.lit(n)) == rest

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
-from .common import prepared, read
+from . import decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
+from .common import fold, prepared, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -127,5 +127,11 @@ def op4(spark, sf_dir):
 
 @register("op10_toxicity")
 def op10(spark, sf_dir):
-    held_out = toxicity.fold(3, 1)
+    held_out = fold(3, 1)
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out, ~held_out)
+
+
+@register("op8_language_id")
+def op8(spark, sf_dir):
+    held_out = fold(3, 1)
+    return language_id.identify(read(spark, sf_dir, "documents"), held_out, ~held_out)
