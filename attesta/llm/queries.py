@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
+from . import context_mixing, decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
 from .common import fold, prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -135,3 +135,8 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     held_out = fold(3, 1)
     return language_id.identify(read(spark, sf_dir, "documents"), held_out, ~held_out)
+
+
+@register("op9_lm_scoring")
+def op9(spark, sf_dir):
+    return context_mixing.score(read(spark, sf_dir, "documents"), fold(10, 0))
