@@ -63,7 +63,7 @@ def packed(*arrays) -> bytes:
     out = [np.array([len(a) for a in arrays], np.int64).tobytes()]
     for a in arrays:
         out.append(a.tobytes() if a.itemsize == 1 else
-                   np.ascontiguousarray(a.view(np.uint16).reshape(len(a), -1).T).tobytes())
+                   np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint16).reshape(len(a), -1).T).tobytes())
     return b"".join(out)
 
 
