@@ -258,11 +258,19 @@ def choose_terms(candidates, toxic, clean):
         gain, term = best
         if gain < SUPPORT:
             break
+        share = toxic / (toxic + clean)
         del gains[term]
-        bad, good = counts[term]
-        if evidence(bad, good, toxic / (toxic + clean)) < EVIDENCE:
+        if evidence(*counts[term], share) < EVIDENCE:
             continue
-        terms[term] = math.log((bad + 0.5) / (toxic + 1) * (clean + 1) / (good + 0.5))
+        stem = term.rstrip("*")
+        if term != stem:   # its most frequent word as well: misspellings are looked for near whole words
+            words = [t for t in gains if t[-1] != "*" and t.startswith(stem) and evidence(*counts[t], share) >= EVIDENCE]
+            words = [max(words, key=lambda t: (counts[t][0], t))] if words else []
+        for t in [term, *words] if term != stem else [term]:
+            bad, good = counts[t]
+            terms[t] = math.log((bad + 0.5) / (toxic + 1) * (clean + 1) / (good + 0.5))
+        for t in [t for t in gains if t.rstrip("*").startswith(stem) or stem.startswith(t.rstrip("*"))]:
+            del gains[t]   # longer and shorter forms say the same again
         for d in holds[term]:
             left[d] -= 1
     return terms
