@@ -194,11 +194,10 @@ def task_rows(alerts: DataFrame, accounts: DataFrame, today: date,
 
 def once_only(events: DataFrame, ledger: DataFrame, order: Sequence[str] = ("created_at",)
               ) -> DataFrame:
-    """G7. Events not announced before, each (kind, ref cut to 300 characters) once: the earliest.
+    """G7. Events not announced before, each (kind, ref) once: the earliest.
     Repeats are merged by aggregation before they meet the ledger."""
     values = [c for c in events.columns if c not in ("kind", "ref")]
-    cut = events.withColumn("ref", F.substring("ref", 1, 300))
-    first = cut.groupBy("kind", "ref").agg(F.min_by(
+    first = events.groupBy("kind", "ref").agg(F.min_by(
         F.struct(*values), F.struct(*order)).alias("e"))
     fresh = first.join(ledger.select("kind", "ref").distinct(), ["kind", "ref"], "left_anti")
     return fresh.select(*[F.col(c) if c in ("kind", "ref") else F.col(f"e.{c}")
@@ -231,8 +230,8 @@ def expiry_reminders(latest: DataFrame, ledger: DataFrame, today: date,
     due = due.withColumn("days_left", F.datediff(
         F.try_to_date("valid_until", "yyyy-MM-dd"), F.lit(today)))
     due = due.withColumn("level", expiry_level(F.col("days_left"), levels)).where(
-        F.col("level").isNotNull()).withColumn("ref", F.substring(F.concat_ws(
-            "|", "account_id", "document_type", "valid_until", "level"), 1, 300))
+        F.col("level").isNotNull()).withColumn("ref", F.concat_ws(
+            "|", "account_id", "document_type", "valid_until", "level"))
     sent = ledger.where(F.col("kind") == "expiry").select("ref")
     return due.join(sent, "ref", "left_anti").select(*latest.columns, "days_left", "level", "ref")
 

@@ -138,7 +138,7 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
     where the attribute may differ. One row per account and attribute with two documents or more.
 
     The pairs are never laid out. Equal forms are merged first. For attributes compared by
-    equality two forms are a conflict. For the others each form is compared with the group's
+    equality two forms from different documents are a conflict. For the others each form is compared with the group's
     longest one; most groups are settled by that, since one DIFFERENT is the worst verdict. Only
     groups whose forms all resemble that one are compared form by form: there the forms are parts
     or near copies of one string, which bounds how many there can be.
@@ -150,6 +150,8 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
     groups = forms.groupBy(*GROUP).agg(
         F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.sum("n").alias("n_values"),
         F.count("form").alias("n_forms"), F.count("*").alias("__rows"),
+        F.min(F.when(F.col("form").isNotNull(), F.col("lo"))).alias("f_lo"),
+        F.max(F.when(F.col("form").isNotNull(), F.col("hi"))).alias("f_hi"),
         F.max("__own").alias("__own_worst"), F.max("matcher").alias("g_matcher"),
         F.max_by(F.struct("form", "lo", "hi", "at"), F.struct(F.length("form"), "form"))
         .alias("top"))
@@ -180,7 +182,9 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
     rest = _pair_rank(rest).groupBy(*GROUP).agg(F.max("worst").alias("rest"))
 
     out = groups.join(worst.select(*GROUP, "worst"), GROUP, "left").join(rest, GROUP, "left")
-    rank = F.when(equal, F.when(F.col("n_forms") >= 2, 2).otherwise(0)).otherwise(F.greatest(
+    # two forms are a conflict unless one document alone holds all of them
+    apart = (F.col("n_forms") >= 2) & (F.col("f_lo") != F.col("f_hi"))
+    rank = F.when(equal, F.when(apart, 2).otherwise(0)).otherwise(F.greatest(
         F.coalesce("worst", F.lit(0)), F.coalesce("rest", F.lit(0)), F.col("__own_worst")))
     severity = _matcher({a: spec[2] for a, spec in attributes.items()})
     notes = {a: spec[3] for a, spec in attributes.items() if spec[3]}

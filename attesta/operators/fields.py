@@ -22,11 +22,11 @@ def normalize_fields(fields: DataFrame) -> DataFrame:
     return fields.withColumn("normalized", t.normalize("kind", "value"))
 
 
-def page_texts(pages: DataFrame, doc: Sequence[str] = DOC, most: int = 5) -> DataFrame:
-    """One row per document: its first ``most`` pages (the extraction limit of the rule set) as an
+def page_texts(pages: DataFrame, doc: Sequence[str] = DOC, most: int | None = None) -> DataFrame:
+    """One row per document: its pages (all, or the first ``most``) as an
     array of squashed texts and quality labels, and the worst quality label."""
     factor = F.array_position(t.word_array(rules.QUALITY_ORDER), F.col("quality_label"))
-    first = limit_pages(pages, most, doc)
+    first = pages if most is None else limit_pages(pages, most, doc)
     return first.groupBy(*doc).agg(
         F.array_sort(F.collect_list(F.struct(
             "page_number", t.alnum("grounding_text").alias("text"), "quality_label")))
@@ -43,7 +43,7 @@ def _exact(value: Column, kind: Column, text: Column) -> Column:
 
 
 def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
-                  min_ratio: float = rules.FUZZY_MIN_RATIO, most_pages: int = 5) -> DataFrame:
+                  min_ratio: float = rules.FUZZY_MIN_RATIO, most_pages: int | None = None) -> DataFrame:
     """D5. Confirm each value against the independently read text: first the page it was said to be
     on, then all pages. Adds grounding (EXACT, FUZZY, CONFLICT, NOT_FOUND, UNVERIFIABLE),
     ocr_match, score and page_quality.
@@ -67,8 +67,9 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
     df = df.withColumn("__here", F.when(asked, _exact(value, kind, F.col("__on.text"))))
     df = df.withColumn("__needle", F.when(asked, t.alnum(value)))
     long_enough = F.length("__needle") >= 4
+    sought = F.col("__here").isNull() & long_enough   # no text goes to Python without its needle
     df = df.withColumn("__near", search(
-        F.when(F.col("__here").isNull() & long_enough, F.col("__needle")), F.col("__on.text")))
+        F.when(sought, F.col("__needle")), F.when(sought, F.col("__on.text"))))
     # the whole document is another text only when it has more than the stated page
     open_ = (F.col("__here").isNull() & F.col("__near.ratio").isNull()
              & (F.col("__on").isNull() | (F.col("__count") > 1)))

@@ -103,9 +103,9 @@ def score_page_quality(pages: DataFrame) -> DataFrame:
 def classify_documents(texts: DataFrame, rule_rows: Sequence = rules.CLASSIFY_RULES,
                        name_hints: Sequence = rules.NAME_HINTS,
                        min_score: float = rules.MIN_CLASS_SCORE, text: str = "text",
-                       name: str | None = "file_name", keep: int = 10) -> DataFrame:
+                       name: str | None = "file_name", keep: int | None = None) -> DataFrame:
     """C7. Document type by weighted phrases found in the squashed text, one point per type for a
-    file name hint; adds document_type, type_confidence, type_signals (the first ``keep``).
+    file name hint; adds document_type, type_confidence, type_signals (all, or the first ``keep``).
 
     The rules are constants inside the expression: each text is squashed once and searched where
     it was read, with no join and no shuffle. Among equal scores the type seen first wins:
@@ -151,7 +151,7 @@ def classify_documents(texts: DataFrame, rule_rows: Sequence = rules.CLASSIFY_RU
         *texts.columns,
         F.when(known, top["type"]).otherwise("OTHER").alias("document_type"),
         F.when(known, confidence).otherwise(0.0).alias("type_confidence"),
-        F.when(known, F.slice(top["signals"], 1, keep)).otherwise(
+        F.when(known, (top["signals"] if keep is None else F.slice(top["signals"], 1, keep))).otherwise(
             F.array().cast("array<string>")).alias("type_signals"))
 
 

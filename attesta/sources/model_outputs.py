@@ -44,10 +44,12 @@ def parse_outputs(raw: DataFrame, specs: dict = rules.FIELD_SPECS) -> DataFrame:
 def explode_model_output(raw: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """A4. One row per document and field of its list: value trimmed (empty is null), page only
     when it is a whole number. ``raw``: sha256, version, expected_type, json."""
-    specs = field_specs(raw.sparkSession) if specs is None else specs
+    own = specs is None   # the library's own table is a constant; one passed in may be of any size
+    specs = field_specs(raw.sparkSession) if own else specs
     parsed = parse_outputs(raw).withColumn("__spec", spec_type("document_type"))
-    s = F.broadcast(specs.select(F.col("document_type").alias("__spec"), "spec_pos", "name",
-                                 "kind", "required", "target_field", "pattern"))
+    s = specs.select(F.col("document_type").alias("__spec"), "spec_pos", "name",
+                     "kind", "required", "target_field", "pattern")
+    s = F.broadcast(s) if own else s
     rows = parsed.join(s, "__spec").withColumn("__i", F.try_element_at("fields", F.col("name")))
     value = t.strip(F.col("__i.value"))
     return rows.select(
@@ -58,12 +60,12 @@ def explode_model_output(raw: DataFrame, specs: DataFrame | None = None) -> Data
         F.when(value != "", F.col("__i.page").cast("int")).alias("page"))
 
 
-def clean_other_fields(parsed: DataFrame, most: int = 80) -> DataFrame:
-    """A5. The labelled items outside the field list: of the first ``most`` those with a label and
-    a value, label cut to 120 and value to 500 characters."""
+def clean_other_fields(parsed: DataFrame, most: int | None = None) -> DataFrame:
+    """A5. The labelled items outside the field list (all, or the first ``most``) that have a label
+    and a value, both trimmed and whole."""
     items = parsed.select("sha256", "version", F.posexplode(
-        F.slice("other_fields", 1, most)).alias("pos", "o"))
+        "other_fields" if most is None else F.slice("other_fields", 1, most)).alias("pos", "o"))
     return items.where((F.col("o.label") != "") & (F.col("o.value") != "")).select(
-        "sha256", "version", "pos", F.substring(t.strip("o.label"), 1, 120).alias("label"),
-        F.substring(t.strip("o.value"), 1, 500).alias("value"),
+        "sha256", "version", "pos", t.strip("o.label").alias("label"),
+        t.strip("o.value").alias("value"),
         F.col("o.page").cast("int").alias("page"))

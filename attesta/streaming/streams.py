@@ -6,8 +6,10 @@ bounds what one call sees. Late rows: S2, S3, S4 and S6 take a watermark, one da
 """
 
 from collections.abc import Sequence
+from threading import Event
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,30 +88,37 @@ def stream_suppress_alerts(alerts: DataFrame, days: int = 7,
 
 # ---------------------------------------------------------------- S3
 def stream_once(events: DataFrame, at: str = "created_at", watermark: str = WATERMARK) -> DataFrame:
-    """S3. Each (kind, ref cut to 300 characters) once within the watermark."""
-    return events.withColumn("ref", F.substring("ref", 1, 300)).withWatermark(
+    """S3. Each (kind, ref) once within the watermark."""
+    return events.withWatermark(
         at, watermark).dropDuplicatesWithinWatermark(["kind", "ref"])
 
 
 def write_once(events: DataFrame, ledger: str, checkpoint: str, at: str = "created_at"):
     """S3 for all time: every micro-batch drops what the ledger table holds and appends the rest.
-    A batch writes a folder of its own and overwrites it when it is run again, so a restart
-    neither loses nor repeats a notice. Returns the started query."""
+    A batch writes a folder of its own, named after its query and its number, and overwrites it when
+    it is run again, so a restart neither loses nor repeats a notice, nor does a new checkpoint,
+    whose batches count from 0 again but belong to another query. Returns the started query."""
     from attesta.operators.alerts import once_only
 
     def batch(rows: DataFrame, batch_id: int):
         spark = rows.sparkSession
-        empty = rows.select("kind", "ref").limit(0)
+        started.wait()
+        run = str(queries[0].id)
         try:
-            held = spark.read.parquet(ledger).where(F.col("batch_id") != batch_id).select(
-                "kind", "ref")
-        except Exception:  # noqa: BLE001 - no ledger yet
-            held = empty
+            held = spark.read.parquet(ledger).where(
+                (F.col("run") != run) | (F.col("batch_id") != batch_id)).select("kind", "ref")
+        except AnalysisException as missing:   # the first batch of all finds no ledger
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            held = rows.select("kind", "ref").limit(0)
         fresh = once_only(rows, held, (at,))
-        fresh.write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch_id={batch_id}")
 
-    return (events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    started, queries = Event(), []
+    queries.append(events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+                   .trigger(availableNow=True).start())
+    started.set()   # a batch waits until its query, and with it the id, is known
+    return queries[0]
 
 
 # ---------------------------------------------------------------- S4
@@ -125,6 +134,8 @@ def stream_expiry(requirements: DataFrame, clock: DataFrame,
     rows = requirements.select("account_id", "document_type", "valid_until", "at").unionByName(
         clock.select(F.lit("").alias("account_id"), F.lit("").alias("document_type"),
                      none.alias("valid_until"), "at")).withWatermark("at", watermark)
+    # ticks have moved the watermark on and end here; a condition on the event time stays above it
+    rows = rows.where(F.coalesce(F.when(F.col("at").isNotNull(), F.col("account_id") != ""), F.lit(False)))
 
     def name(level):
         return "today" if level == 0 else f"{level} days"
@@ -135,8 +146,6 @@ def stream_expiry(requirements: DataFrame, clock: DataFrame,
         return [*plan, (end + _DAY_MS, "expired")]
 
     def step(key, chunks, state):
-        if key[0] == "":
-            return
         until, sent = state.get if state.exists else (None, 0)
         if not state.hasTimedOut:
             for r in _in_order(chunks, "at"):
