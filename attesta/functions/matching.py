@@ -11,6 +11,7 @@ from attesta.functions.similarity import similarity
 SAME, LIKELY, DIFFERENT = "SAME", "LIKELY_SAME", "DIFFERENT"
 
 
+# Fixed value: letters and digits are split where they meet
 def _tokens(x: Column) -> Column:
     spaced = F.regexp_replace(F.translate(F.upper(x), "Ñ", "N"),
                               r"(?<=[A-Z])(?=\d)|(?<=\d)(?=[A-Z])", " ")
