@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from attesta import rules
 from attesta.functions import text as t
-from attesta.skew import HOT_ROWS, attach, ordered
+from attesta.skew import attach, ordered
 
 
 def mark_duplicates(docs: DataFrame, by: Sequence[str] = ("job_id",), content: str = "content",
                     doc_id: str = "doc_id", order: Sequence[str] = ("pos",),
-                    name: str = "file_name", hot_rows: int = HOT_ROWS) -> DataFrame:
+                    name: str = "file_name") -> DataFrame:
     """B1. Per ``by``, the first document of equal content is STORED and later ones are DUPLICATE
     of it. The first is found by aggregation (combined before the shuffle) and attached to its
     copies, so a content with very many copies is never one task's work."""
@@ -21,9 +21,8 @@ def mark_duplicates(docs: DataFrame, by: Sequence[str] = ("job_id",), content: s
     keys = [*by, "sha256"]
     first = hashed.where(F.col("sha256").isNotNull()).groupBy(*keys).agg(
         F.min_by(F.struct(F.col(doc_id).alias("id"), F.col(name).alias("name")),
-                 ordered([*order, doc_id])).alias("__first"),
-        F.count("*").alias("__copies"))
-    out = attach(hashed, first, keys, "__copies", [doc_id], hot_rows)
+                 ordered([*order, doc_id])).alias("__first"))
+    out = attach(hashed, first, keys)
     copy = F.col("__first.id") != F.col(doc_id)
     return out.select(
         *hashed.columns,
@@ -61,15 +60,11 @@ def pending_work(contents: DataFrame, done: DataFrame, version: str,
         "version", F.lit(version))
 
 
-def reuse_results(docs: DataFrame, results: DataFrame, version: str, doc_id: str = "doc_id",
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+def reuse_results(docs: DataFrame, results: DataFrame, version: str) -> DataFrame:
     """B4. Attach the cached result of each document's content, whichever account it came from.
     ``results`` holds one row per sha256 and version."""
     values = [c for c in results.columns if c not in ("sha256", "version")]
-    uses = docs.groupBy("sha256").agg(F.count("*").alias("__uses"))
-    per_sha = results.where(F.col("version") == version).select("sha256", *values).join(
-        uses, "sha256")
-    return attach(docs, per_sha, ["sha256"], "__uses", [doc_id], hot_rows).drop("__uses")
+    return attach(docs, results.where(F.col("version") == version).select("sha256", *values), ["sha256"])
 
 
 def purgeable_contents(docs: DataFrame, jobs: DataFrame, finished: DataFrame) -> DataFrame:

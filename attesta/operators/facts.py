@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attesta import rules
 from attesta.functions import matching as m
 from attesta.functions import text as t
-from attesta.skew import HOT_ROWS, attach
+from attesta.skew import attach
 
 PLACE = ["rank", "doc_pos", "seq"]
 FACT = ["account_id", "attribute", *PLACE, "value", "doc_id", "file_name", "document_type",
@@ -131,8 +131,7 @@ def _pair_rank(df: DataFrame) -> DataFrame:
         ~_one_document("a_lo", "a_hi", "b_lo", "b_hi"), m.rank("verdict")))
 
 
-def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES) -> DataFrame:
     """E3. Do the documents of an account agree on an attribute? The verdict is the worst over all
     pairs of facts from different documents: CONSISTENT, LIKELY_CONSISTENT, CONFLICT, or DIFFERS
     where the attribute may differ. One row per account and attribute with two documents or more.
@@ -149,7 +148,7 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
         2).otherwise(0))
     groups = forms.groupBy(*GROUP).agg(
         F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.sum("n").alias("n_values"),
-        F.count("form").alias("n_forms"), F.count("*").alias("__rows"),
+        F.count("form").alias("n_forms"),
         F.min(F.when(F.col("form").isNotNull(), F.col("lo"))).alias("f_lo"),
         F.max(F.when(F.col("form").isNotNull(), F.col("hi"))).alias("f_hi"),
         F.max("__own").alias("__own_worst"), F.max("matcher").alias("g_matcher"),
@@ -160,8 +159,8 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES,
     fuzzy = forms.where(~F.col("matcher").isin(_EQUALITY) & F.col("form").isNotNull()).drop(
         "__own")
 
-    pivot = groups.where(~equal & (F.col("n_forms") >= 2)).select(*GROUP, "top", "__rows")
-    star = attach(fuzzy, pivot, GROUP, "__rows", ["form"], hot_rows).where(
+    pivot = groups.where(~equal & (F.col("n_forms") >= 2)).select(*GROUP, "top")
+    star = attach(fuzzy, pivot, GROUP).where(
         F.col("top").isNotNull() & (F.col("form") != F.col("top.form")))
     star = _pair_rank(star.select(
         *GROUP, "matcher", F.col("form").alias("a"), F.col("lo").alias("a_lo"),
@@ -257,17 +256,15 @@ def choose_best(facts: DataFrame, min_confidence: float = rules.MIN_CONFIDENCE,
         F.count("*").alias("n_facts")).select(*keys, *[f"b.{c}" for c in values], "n_facts")
 
 
-def agreeing_documents(chosen: DataFrame, facts: DataFrame, matchers: dict = AGREE_BY,
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+def agreeing_documents(chosen: DataFrame, facts: DataFrame, matchers: dict = AGREE_BY) -> DataFrame:
     """E5. Per chosen value the number of facts from other documents that match it. Facts are merged
     to their distinct forms before they are compared."""
     kinds = set(matchers.values())
     pick = chosen.withColumn("__m", _matcher(matchers)).where(F.col("__m").isNotNull()).select(
         *GROUP, F.struct(m.form(F.col("__m"), "value", kinds).alias("form"),
                          F.col("doc_id").alias("doc"), F.col("__m").alias("matcher"))
-        .alias("__c"), "n_facts")
-    df = attach(facts.select(*GROUP, "value", "doc_id"), pick, GROUP, "n_facts", ["doc_id"],
-                hot_rows).where(F.col("doc_id") != F.col("__c.doc"))
+        .alias("__c"))
+    df = attach(facts.select(*GROUP, "value", "doc_id"), pick, GROUP).where(F.col("doc_id") != F.col("__c.doc"))
     forms = df.groupBy(*GROUP, F.col("__c.matcher").alias("matcher"),
                        F.col("__c.form").alias("mine"),
                        m.form(F.col("__c.matcher"), "value", kinds).alias("form")).agg(

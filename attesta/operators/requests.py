@@ -64,10 +64,9 @@ def one_active_job(requests: DataFrame, jobs: DataFrame,
     active = jobs.where(F.col("status").isin(rules.ACTIVE_JOB_STATUSES)).groupBy(
         "account_id").agg(F.min("job_id").alias("__active"))
     first = requests.groupBy("account_id").agg(
-        F.min_by("request_id", F.struct(*order)).alias("__first"),
-        F.count("*").alias("__requests"))
+        F.min_by("request_id", F.struct(*order)).alias("__first"))
     per = first.join(active, "account_id", "left")
-    df = attach(requests, per, ["account_id"], "__requests", ["request_id"])
+    df = attach(requests, per, ["account_id"])
     new = F.sha2(F.concat_ws("|", "account_id", F.col("__first").cast("string")), 256)
     return df.select(
         *requests.columns, F.coalesce("__active", new).alias("job_id"),

@@ -5,40 +5,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000   # a key with at least this many rows is treated as hot
-SALTS = 256
 
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join ``per_key`` (one row per key) to ``rows``; null keys stay unmatched.
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], count: str,
-           spread: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join ``per_key`` (one row per key, ``count`` = how many ``rows`` carry the key).
-
-    A hot key would send all its rows to one task. There are at most ``len(rows) / hot_rows`` hot
-    keys, so that part of ``per_key`` is broadcast and answers those rows in place; they then pass
-    the shuffle join spread over ``SALTS`` buckets by ``spread`` and match nothing there. All other
-    keys meet in the ordinary shuffle join. Both parts read the same aggregate, whose exchange
-    Spark reuses. Null keys stay unmatched.
+    A key with very many rows makes one large partition of ``rows``. Spark splits that at run time and
+    hands the key's single row to every part (``session.SETTINGS`` forces the split), so there is one
+    plan for all sizes, and nothing is broadcast unless its measured size allows it.
     """
     values = [c for c in per_key.columns if c not in keys]
-    hot = per_key.where(F.col(count) >= hot_rows).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys],
-        F.struct(*values).alias("__hot"))
-    cold = per_key.where(F.col(count) < hot_rows).select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys],
-        F.struct(*values).alias("__cold"), F.lit(0).alias("__c_salt"))
-
-    out = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h_{k}") for k in keys], "left")
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1
-    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull() | any_null, bucket)
-                         .otherwise(F.lit(0)))
-    on = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__salt") == F.col("__c_salt")]
-    out = out.join(cold, on, "left")
-    return out.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"__hot.{v}"), F.col(f"__cold.{v}")).alias(v) for v in values])
+    right = per_key.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *values)
+    out = rows.join(right, [F.col(k) == F.col(f"__k_{k}") for k in keys], "left")
+    return out.select(*[F.col(c) for c in rows.columns], *values)
 
 
 def ordered(order: Sequence[str]) -> Column:

@@ -304,7 +304,7 @@ def test_cross_check_equals_all_pairs(spark):
                           f"d{rnd.randint(0, 3)}", 0.9))
     facts = facts_of(spark, items)
     got = {(r.account_id, r.attribute): r.status for r in fa.cross_check(
-        facts, hot_rows=3).collect()}
+        facts).collect()}
     matcher = {a: s[1] for a, s in rules.CHECKED_ATTRIBUTES.items()}
     groups, pairs = {}, []
     for a, at, v, doc, _ in items:
@@ -370,13 +370,12 @@ def test_contact_check_details(spark, rows):
                                 "contact")
 
 
-def test_agreeing_is_the_same_for_hot_groups(spark, rows):
+def test_agreeing_of_a_large_group(spark, rows):
     from attesta.session import keep
     facts = facts_of(spark, [("a", "business_name", f"SOL GRILL {'X' * (i % 3)}", f"d{i}", 0.9)
                              for i in range(30)] + [("b", "tin", "234567890", "d1", 0.9),
                                                     ("b", "tin", "234-567-890-000", "d2", 0.9)])
     facts = keep(facts, "facts")
     best = fa.choose_best(facts)
-    for hot in (2, 10**6):
-        got = rows(fa.agreeing_documents(best, facts, hot_rows=hot), "account_id")
-        assert [r["agreeing"] for r in got] == [29, 1]
+    got = rows(fa.agreeing_documents(best, facts), "account_id")
+    assert [r["agreeing"] for r in got] == [29, 1]
