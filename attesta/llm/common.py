@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_ready, keep
 
-__all__ = ["ROWS_PER_BATCH", "fold", "keep", "prepared", "read", "run_groups", "text_batches"]
+__all__ = ["ROWS_PER_BATCH", "fold", "free_name", "keep", "prepared", "read", "run_groups", "text_batches"]
 
 #: Rows of an Arrow batch: texts may be long, and a batch is what a Python worker holds at once.
 ROWS_PER_BATCH = 1000
@@ -24,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def run_groups(rows: int, size: int) -> int:
     """How many groups of about ``size`` rows to form."""
     return max(1, math.ceil(rows / size))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import free_name, text_batches
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once (their arrays take a few times as much).
@@ -108,19 +108,20 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int):
     n = -(-size // most) or 1
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in block.collect()]
+        yield [(r["item"], r["text"]) for r in block.toArrow().to_pylist()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct ``contamination``: ``hits`` (word positions, flattened [start, end) pairs),
+         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+         out: str = "contamination") -> DataFrame:
+    """``docs`` with a struct ``out``: ``hits`` (word positions, flattened [start, end) pairs),
     ``items`` (ids as text, sorted) and ``n_words``."""
     spark = docs.sparkSession
     struct = T.StructType.fromDDL(FOUND)
-    out = docs.withColumn("contamination", F.struct(
+    name, out = out, docs.withColumn(out, F.struct(
         F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"),
         F.lit(0).cast("long").alias("n_words")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("contamination", struct)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, struct)])
     arrow = pa.struct([("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
         known = spark.sparkContext.broadcast(WindowSet(items, window))
@@ -141,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                     base = at - int(ends[k]) + sizes[k] + 1
                     spans.add((base, base + length))
                     seen.update(map(str, names))
-                at = batch.schema.get_field_index("contamination")
+                at = batch.schema.get_field_index(name)
                 before = batch.column(at).to_pylist()
                 now = []
                 for k, (old, n) in enumerate(zip(before, sizes, strict=True)):
@@ -181,12 +182,13 @@ def cut_spans(text: str, hits) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with the spans of single hits cut out of their text."""
-    found = find(docs, benchmark, text, **options)
+    name = free_name("contamination", docs)
+    found = find(docs, benchmark, text, out=name, **options)
     schema = found.schema
 
     def cut(batches):
         for batch in batches:
-            at, c = batch.schema.get_field_index(text), batch.schema.get_field_index("contamination")
+            at, c = batch.schema.get_field_index(text), batch.schema.get_field_index(name)
             kept, texts = [], []
             for i, (t, found) in enumerate(zip(batch.column(at).to_pylist(), batch.column(c).to_pylist(), strict=True)):
                 hits = found["hits"]
@@ -200,4 +202,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
                 [*out.columns[:at], pa.array(texts, out.column(at).type), *out.columns[at + 1:]],
                 names=batch.schema.names)
 
-    return found.mapInArrow(cut, schema).drop("contamination")
+    return found.mapInArrow(cut, schema).drop(name)

@@ -16,6 +16,8 @@ because the working columns live in one struct.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Base rule: too few words, or more than this share of words in repeated three-word windows.
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -82,28 +84,28 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, 0).otherwise(named[0]).cast("long")
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``quality``: the base counts, ``kept``, the cleaned text and how many
+def judge(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
+    """``docs`` with a struct ``out``: the base counts, ``kept``, the cleaned text and how many
     lines of each kind went. ``text`` itself stays as it is."""
     t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("quality", F.struct(
+    split = docs.withColumn(out, F.struct(
         F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
         F.split(t, "\n").alias("lines")))
-    words, lines = F.col("quality.words"), F.col("quality.lines")
+    words, lines = F.col(out)["words"], F.col(out)["lines"]
     filled = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     judged = F.transform(filled, lambda x: F.struct(
         x.alias("line"), bad_punctuation(x).alias("punctuation"), is_navigation(x).alias("navigation"),
         is_boilerplate(x).alias("boilerplate")))
-    counted = split.withColumn("quality", F.struct(
+    counted = split.withColumn(out, F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
         judged.alias("judged")))
-    q = F.col("quality")
+    q = F.col(out)
     good = F.filter(q["judged"], lambda x: ~(x["punctuation"] | x["navigation"] | x["boilerplate"]))
-    passed = counted.withColumn("quality", F.struct(
+    passed = counted.withColumn(out, F.struct(
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.aggregate(q["judged"], F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"])).alias("all_chars"),
         F.transform(good, lambda x: x["line"]).alias("good"),
@@ -112,7 +114,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     n, lost = q["n_words"], q["all_chars"] - F.aggregate(
         q["good"], F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     base_failed = (n < MIN_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED_PERCENT * n)
-    return passed.withColumn("quality", F.struct(
+    return passed.withColumn(out, F.struct(
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed.alias("base_failed"),
         (~base_failed & (100 * lost <= MOST_LOST_PERCENT * q["all_chars"])).alias("kept"),
@@ -125,5 +127,10 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept documents with their failing lines removed, in the columns they came with."""
-    judged = judge(docs, text).where("quality.kept")
-    return judged.select(*[F.col("quality.text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    out = free_name("quality", docs)
+    judged = judge(docs, text, out)
+    # exploding a list of one or none drops rows like a filter, but is not pushed below the judging, where
+    # it would be worked out again for every part of it
+    one = F.explode(F.when(F.col(out)["kept"], F.array(F.col(out)["text"]))).alias(out)
+    return judged.select(*docs.columns, one).select(
+        *[F.col(out).alias(c) if c == text else F.col(c) for c in docs.columns])
