@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import free_name, keep
 from .deep_shallow import common_prefixes, suffix_order
 
 LENGTH = 50
@@ -37,7 +37,7 @@ GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
 REACH = WINDOWS - 1
 #: Bytes of text for a bucket and for a slot, on average.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 SLOT_BYTES = 8_000_000
 #: Bytes that are hashed at once, and anchors a sender gathers before it sends.
 CHUNK = 1_000_000
@@ -214,7 +214,7 @@ def judge_suffixes(ids, places, before, after, around):
     behind = np.zeros(len(ids), np.uint64)
     for shift in range(REACH + 1):   # strings that start ``shift`` bytes before the anchor
         if shift:
-            behind = _mixed(behind + left[:, REACH - shift].astype(np.uint64) + np.uint64(shift) * _ODD)
+            behind = _mixed(behind + left[:, REACH - shift].astype(np.uint64) + np.uint64(shift * int(_ODD) % 2**64))
         at = np.flatnonzero((before >= shift) & (after >= LENGTH - shift))
         if not len(at):
             continue
@@ -231,11 +231,13 @@ def judge_suffixes(ids, places, before, after, around):
 
 
 def _by_slot(slots, ids, *arrays):
+    if not len(ids):
+        return
     slot = slots_of(ids, slots)
     order = np.lexsort((ids, slot))
     slot, ids = slot[order], ids[order]
     arrays = [a[order] for a in arrays]
-    edges = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else []
+    edges = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
     for lo, hi in zip(edges, [*edges[1:], len(slot)], strict=True):
         yield int(slot[lo]), packed(ids[lo:hi], *[a[lo:hi] for a in arrays])
 
@@ -253,8 +255,9 @@ def _ids(column):
     return np.array([LAST_ID if i is None else i for i in column.to_pylist()], np.int64)
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``kept`` (the remaining bytes) and ``removed`` (flattened [start, end) byte places)."""
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: str = "kept",
+                 removed: str = "removed") -> DataFrame:
+    """``docs`` with the remaining bytes as ``kept``, and ``removed`` (flattened [start, end) byte places)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, slots = -(-size // BUCKET_BYTES) or 1, -(-size // SLOT_BYTES) or 1
@@ -336,8 +339,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                                            around.reshape(len(i), REACH + LENGTH))
         return _sent((s, False, d) for s, d in _by_slot(slots, ids, starts, ends))
 
-    result = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()),
-                           T.StructField("removed", T.ArrayType(T.LongType()))])
+    result = T.StructType([*docs.schema.fields, T.StructField(kept, T.BinaryType()),
+                           T.StructField(removed, T.ArrayType(T.LongType()))])
 
     def cut(docs, marks):
         spans = []
@@ -352,25 +355,25 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         order = np.argsort(whose, kind="stable")
         whose, starts, ends = whose[order], starts[order], ends[order]
         ids = _ids(docs.column(doc_id).cast(pa.int64()))
-        kept, removed, texts, sizes = [], [], [], docs.column("__size").to_pylist()
+        left, gone_at, texts, sizes = [], [], [], docs.column("__size").to_pylist()
         for k, raw in texts_of(docs):
             lo, hi = np.searchsorted(whose, ids[k], "left"), np.searchsorted(whose, ids[k], "right")
             texts.append(None if sizes[k] is None else raw.decode("utf-8", "surrogatepass"))
             if lo == hi:
-                kept.append(raw)
-                removed.append([])
+                left.append(raw)
+                gone_at.append([])
                 continue
             depth = np.zeros(len(raw) + 1, np.int32)
             np.add.at(depth, np.clip(starts[lo:hi], 0, len(raw)), 1)
             np.add.at(depth, np.clip(ends[lo:hi], 0, len(raw)), -1)
             gone = np.cumsum(depth[:-1]) > 0
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            removed.append(edge.tolist())
+            gone_at.append(edge.tolist())
         whole = {c: docs.column(c) for c in columns if c != text}
         whole[text] = pa.chunked_array([pa.array(texts, pa.string())])
-        return pa.table([*[whole[c] for c in columns], pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.int64()))],
-                        names=[*columns, "kept", "removed"])
+        return pa.table([*[whole[c] for c in columns], pa.array(left, pa.binary()), pa.array(gone_at, pa.list_(pa.int64()))],
+                        names=[*columns, kept, removed])
 
     slotted = T.StructType([*[f for f in docs.schema.fields if f.name != text], T.StructField("__slot", T.LongType()),
                             T.StructField("__size", T.LongType()), T.StructField("__bytes", T.BinaryType())])
@@ -397,18 +400,18 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining text; a document that is repeated whole goes. A character of which
     only some bytes remain goes too."""
-    found = find_repeats(docs, doc_id, text)
-    left = found.where((F.octet_length("kept") > 0) | (F.size("removed") == 0))
+    kept, removed = free_name("kept", docs), free_name("removed", docs)
+    found = find_repeats(docs, doc_id, text, kept, removed)
     columns = docs.columns
 
     def decode(batches):
         for batch in batches:
-            at, kept = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index("kept"))
-            texts = [t if not r else k.decode("utf-8", "ignore") for t, k, r in zip(
-                batch.column(at).to_pylist(), kept.to_pylist(),
-                batch.column(batch.schema.get_field_index("removed")).to_pylist(), strict=True)]
+            at, left, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, kept, removed))
+            rows = [k for k, (b, r) in enumerate(zip(left, cuts, strict=True)) if b or not r]
+            texts = [at[k] if not cuts[k] else left[k].decode("utf-8", "ignore") for k in rows]
+            batch = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == text else batch.column(batch.schema.get_field_index(c))
                  for c in columns], names=columns)
 
-    return left.mapInArrow(decode, docs.schema)
+    return found.mapInArrow(decode, docs.schema)
