@@ -140,7 +140,7 @@ def sample_of(docs: DataFrame, learnt: Column) -> DataFrame:
 
 def fit(docs: DataFrame, learnt: Column):
     """The languages and the network, or None if there is nothing to learn from."""
-    rows = sample_of(docs, learnt).collect()
+    rows = sample_of(docs, learnt).toArrow().to_pylist()
     rows = sorted(((r["lang"], r["doc_id"] or 0, r["text"]) for r in rows))
     names = sorted({r[0] for r in rows})
     if not rows:

@@ -130,18 +130,21 @@ class Model:
 
     def __init__(self, weights, known, context, logistic):
         self.lexicon, self.known, self.context, self.logistic = Lexicon(weights), known, context, logistic
-        self.found = {}
+        self.found, self.old = {}, {}   # matches met since the last turnover, and before
 
     def match(self, word):
         hit = self.found.get(word, 0)
+        if hit != 0:
+            return hit
+        hit = self.old.get(word, 0)
         if hit == 0:
             core = core_of(word)
             hit = self.lexicon.find(core) if len(core) >= SHORTEST else None
             if hit and core in self.known and (hit[1] or hit[0].endswith("*")):
                 hit = None
-            if len(self.found) >= REMEMBERED:
-                self.found.clear()
-            self.found[word] = hit
+        if len(self.found) >= REMEMBERED:
+            self.found, self.old = {}, self.found
+        self.found[word] = hit
         return hit
 
     def hits(self, words):
@@ -227,7 +230,7 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("good"),
         F.flatten(F.collect_list("docs")).alias("docs")).where((F.col("bad") >= SUPPORT) & (rate >= F.least(enough, F.lit(clean))))
-    rows = found.orderBy(F.desc("bad"), "trait").limit(20 * MOST_TERMS).collect()
+    rows = found.orderBy(F.desc("bad"), "trait").head(5 * MOST_TERMS)
     return choose_terms([(r["trait"], r["bad"], r["good"], r["docs"]) for r in rows], toxic, clean)
 
 
@@ -286,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column) -> Model:
     """Terms, words that are no misspellings, context weights and the logistic function."""
     sample = keep(sample_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                             labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), learnt), "sample")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().head(2)}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     weights = learn_terms(sample, toxic, clean)
     if not toxic or not clean:
@@ -305,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column) -> Model:
 
     import pickle
     # a row for each sampled document: bounded like the sample
-    seen = [pickle.loads(r["seen"]) for r in sample.mapInArrow(survey, "seen binary").collect()]
+    seen = [pickle.loads(r["seen"]) for r in sample.mapInArrow(survey, "seen binary").head(MOST_TOXIC + MOST_CLEAN)]
     # clean words: near a term or with its beginning, but not telling
     loose = {side: Counter(w for bad, _, hits in seen if bad is side for w in {h[2] for h in hits if h[1] or h[0][-1] == "*"})
              for side in (True, False)}
