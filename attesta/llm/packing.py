@@ -23,7 +23,7 @@ END_ID = 2
 #: Pieces in a group: enough for a good fit, few enough for one task.
 GROUP_PIECES = 20_000
 #: Words a worker remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words encoded in one call.
 TOGETHER = 200
 
