@@ -18,10 +18,13 @@ Rows between the steps are packed arrays: a row per sender and receiver, not one
 compressed for their two trips. Buckets and slots grow in number with the input, so their sizes do not.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` bytes stay whole; a null id counts as
-larger than all others; rows with the same id are one document and must hold the same text; other
-columns pass through.
+larger than all others (the largest 64-bit id counts as null); of rows with the same id, or without one,
+none is smaller than another, and each is cut by its own text: rows are told apart by a hash of id and
+text, ids only compare; other columns pass through. Rows equal in id and text meet in one slot.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,9 +82,25 @@ def unpacked(data: bytes, *kinds):
     return out
 
 
-def slots_of(ids, slots: int):
-    """The slot a document id belongs to."""
-    return (_mixed(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+def numbers_of(ids, texts):
+    """A number of each row, from its id and text: ids may be null or repeat with other texts."""
+    out = []
+    for i, text in zip(ids.tolist(), texts, strict=True):
+        h = hashlib.blake2b(i.to_bytes(8, "little", signed=True), digest_size=8)
+        h.update(text or b"")
+        out.append(int.from_bytes(h.digest(), "little", signed=True))
+    return np.array(out, np.int64)
+
+
+def slots_of(numbers, slots: int):
+    """The slot a row's number belongs to."""
+    return (_mixed(np.asarray(numbers, np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+
+
+def _own(whose, numbers, i, number):
+    """Where, in marks sorted by ``numbers``, those of one row are."""
+    lo, hi = np.searchsorted(numbers, number, "left"), np.searchsorted(numbers, number, "right")
+    return lo + np.flatnonzero(whose[lo:hi] == i)
 
 
 class Anchors:
@@ -153,7 +172,7 @@ def parts_of(texts):
         yield chunk
 
 
-def _send(buckets, ids, places, grams, around):
+def _send(buckets, ids, numbers, places, grams, around):
     """Gathered anchors as one row per bucket: runs of a document, then place steps and hashes."""
     bucket = ((grams & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -161,38 +180,38 @@ def _send(buckets, ids, places, grams, around):
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
         k = order[lo:hi]
-        i, p, g, e = ids[k], places[k], grams[k] >> np.uint64(24), around[k]
-        new = np.append(True, i[1:] != i[:-1]) | np.append(False, p[1:] < p[:-1])
+        i, r, p, g, e = ids[k], numbers[k], places[k], grams[k] >> np.uint64(24), around[k]
+        new = np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (p[1:] < p[:-1]))
         run = np.flatnonzero(new)
         step = p.copy()
         step[1:] -= p[:-1]
         step[run] = p[run]
         yield int(bucket[lo]), packed(
-            np.diff(i[run], prepend=np.int64(0)), np.diff(np.append(run, len(k))).astype(np.uint32),
+            np.diff(i[run], prepend=np.int64(0)), r[run], np.diff(np.append(run, len(k))).astype(np.uint32),
             step.astype(np.uint64), (g & _LOW).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8),
             (e & _LOW).astype(np.uint32), (e >> np.uint64(48)).astype(np.uint16))
 
 
 def _received(rows):
-    """Document, place, gram and surroundings of all anchors sent to a bucket."""
+    """Document, row number, place, gram and surroundings of all anchors sent to a bucket."""
     out = []
     for data in rows:
-        ids, counts, step, g_low, g_high, e_low, e_high = unpacked(
-            data, np.int64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint32, np.uint16)
+        ids, numbers, counts, step, g_low, g_high, e_low, e_high = unpacked(
+            data, np.int64, np.int64, np.uint32, np.uint64, np.uint32, np.uint8, np.uint32, np.uint16)
         counts = counts.astype(np.int64)
         total = np.cumsum(step.astype(np.int64))
         first = np.cumsum(counts) - counts
         base = total[first] - step[first].astype(np.int64)
-        out.append((np.repeat(np.cumsum(ids), counts), total - np.repeat(base, counts),
+        out.append((np.repeat(np.cumsum(ids), counts), np.repeat(numbers, counts), total - np.repeat(base, counts),
                     g_low.astype(np.uint64) | (g_high.astype(np.uint64) << np.uint64(32)),
                     e_low.astype(np.uint64) | (e_high.astype(np.uint64) << np.uint64(32))))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def judge_anchors(ids, places, grams, around):
-    """Anchors to act on: (id, place, whole), whole where a smaller document has the surroundings."""
+def judge_anchors(ids, numbers, places, grams, around):
+    """Anchors to act on: (id, row number, place, whole), whole where a smaller document has the surroundings."""
     order = np.lexsort((ids, around, grams))
-    ids, places, grams, around = ids[order], places[order], grams[order], around[order]
+    ids, numbers, places, grams, around = ids[order], numbers[order], places[order], grams[order], around[order]
     new_gram = np.append(True, grams[1:] != grams[:-1])
     new = new_gram | np.append(True, around[1:] != around[:-1])
     least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -200,15 +219,15 @@ def judge_anchors(ids, places, grams, around):
     several = np.bincount(group[new])[group] > 1
     whole = ids > least
     acted = whole | several
-    return ids[acted], places[acted], whole[acted]
+    return ids[acted], numbers[acted], places[acted], whole[acted]
 
 
-def judge_suffixes(ids, places, before, after, around):
-    """Spans (id, start, end) that a smaller document has, from anchors with their surroundings."""
+def judge_suffixes(ids, numbers, places, before, after, around):
+    """Spans (id, row number, start, end) that a smaller document has, from anchors with their surroundings."""
     left, right = around[:, :REACH], around[:, REACH:]
     order = suffix_order(np.ascontiguousarray(right))
     lcp = common_prefixes(right, order)
-    ids, places, before, after, left = ids[order], places[order], before[order], after[order], left[order]
+    ids, numbers, places, before, after, left = (x[order] for x in (ids, numbers, places, before, after, left))
     smallest = np.full(len(ids), LENGTH, np.int64)   # shift of the first and the last string to go
     largest = np.full(len(ids), -1, np.int64)
     behind = np.zeros(len(ids), np.uint64)
@@ -227,19 +246,19 @@ def judge_suffixes(ids, places, before, after, around):
         smallest[gone] = np.minimum(smallest[gone], shift)
         largest[gone] = shift
     gone = largest >= 0
-    return ids[gone], places[gone] - largest[gone], places[gone] + LENGTH - smallest[gone]
+    return ids[gone], numbers[gone], places[gone] - largest[gone], places[gone] + LENGTH - smallest[gone]
 
 
-def _by_slot(slots, ids, *arrays):
+def _by_slot(slots, ids, numbers, *arrays):
     if not len(ids):
         return
-    slot = slots_of(ids, slots)
-    order = np.lexsort((ids, slot))
-    slot, ids = slot[order], ids[order]
+    slot = slots_of(numbers, slots)
+    order = np.lexsort((numbers, ids, slot))
+    slot, ids, numbers = slot[order], ids[order], numbers[order]
     arrays = [a[order] for a in arrays]
     edges = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
     for lo, hi in zip(edges, [*edges[1:], len(slot)], strict=True):
-        yield int(slot[lo]), packed(ids[lo:hi], *[a[lo:hi] for a in arrays])
+        yield int(slot[lo]), packed(ids[lo:hi], numbers[lo:hi], *[a[lo:hi] for a in arrays])
 
 
 _SENT = pa.schema([("to", pa.int64()), ("whole", pa.bool_()), ("data", pa.binary())])
@@ -268,9 +287,11 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         finder, gathered, n = Anchors(), [], 0
         for batch in batches:
             ids = _ids(batch.column(0))
-            for parts in parts_of([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            numbers = numbers_of(ids, texts)
+            for parts in parts_of(texts):
                 k, *found = finder.find(parts)
-                gathered.append((ids[k], *found))
+                gathered.append((ids[k], numbers[k], *found))
                 n += len(k)
                 if n >= GATHERED:
                     yield from _sent((b, False, d) for b, d in _send(
@@ -281,47 +302,47 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
                 buckets, *map(np.concatenate, zip(*gathered, strict=True)))).to_batches()
 
     def judge_bucket(table):
-        ids, places, whole = judge_anchors(*_received(table.column("data").to_pylist()))
+        ids, numbers, places, whole = judge_anchors(*_received(table.column("data").to_pylist()))
         return _sent((s, w, d) for w in (True, False)
-                     for s, d in _by_slot(slots, ids[whole == w], places[whole == w]))
+                     for s, d in _by_slot(slots, ids[whole == w], numbers[whole == w], places[whole == w]))
 
     def compressed(batches):
         for batch in batches:
             raw = [t if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(at_text).to_pylist()]
             texts = [pa.compress(t, "zstd", asbytes=True) if t else b"" for t in raw]
             sizes = [t if t is None else len(t) for t in raw]
-            slot = slots_of(_ids(batch.column(at_id).cast(pa.int64())), slots)
+            numbers = numbers_of(_ids(batch.column(at_id).cast(pa.int64())), raw)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(slot), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())],
-                names=[*columns, "__slot", "__size", "__bytes"]).drop_columns([text])
+                [*batch.columns, pa.array(slots_of(numbers, slots)), pa.array(numbers), pa.array(sizes, pa.int64()),
+                 pa.array(texts, pa.binary())], names=[*columns, "__slot", "__number", "__size", "__bytes"]).drop_columns([text])
 
     def texts_of(table):
         for k, (n, data) in enumerate(zip(table.column("__size").to_pylist(), table.column("__bytes").to_pylist(), strict=True)):
             yield k, pa.decompress(data, n, "zstd", asbytes=True) if n else b""
 
     def fetch(docs, marks):
-        ids = _ids(docs.column(doc_id).cast(pa.int64()))
-        marked = [unpacked(d, np.int64, np.int64) for d in marks.column("data").to_pylist()]
+        ids, numbers = _ids(docs.column(doc_id).cast(pa.int64())), docs.column("__number").to_numpy()
+        marked = [unpacked(d, np.int64, np.int64, np.int64) for d in marks.column("data").to_pylist()]
         if not marked or not len(ids):
             return _sent(())
-        whose, places = map(np.concatenate, zip(*marked, strict=True))
-        order = np.argsort(whose, kind="stable")
-        whose, places = whose[order], places[order]
+        whose, which, places = map(np.concatenate, zip(*marked, strict=True))
+        order = np.argsort(which, kind="stable")
+        whose, which, places = whose[order], which[order], places[order]
         out, seen = [], set()
         for k, raw in texts_of(docs):
-            lo, hi = np.searchsorted(whose, ids[k], "left"), np.searchsorted(whose, ids[k], "right")
-            if lo == hi or ids[k] in seen:
+            own = _own(whose, which, ids[k], numbers[k])
+            if not len(own) or (ids[k], numbers[k]) in seen:
                 continue
-            seen.add(ids[k])
-            p, n = places[lo:hi], len(raw)
+            seen.add((ids[k], numbers[k]))
+            p, n = places[own], len(raw)
             reach = p[:, None] + np.arange(-REACH, LENGTH)
             around = np.frombuffer(raw, np.uint8)[np.clip(reach, 0, n - 1)]
             around[(reach < 0) | (reach >= n)] = 0
-            out.append((whose[lo:hi], p, np.minimum(p, REACH).astype(np.uint8),
+            out.append((whose[own], which[own], p, np.minimum(p, REACH).astype(np.uint8),
                         np.minimum(n - p, LENGTH).astype(np.uint8), around))
         if not out:
             return _sent(())
-        i, p, before, after, around = map(np.concatenate, zip(*out, strict=True))
+        i, r, p, before, after, around = map(np.concatenate, zip(*out, strict=True))
         gram = np.zeros(len(i), np.uint64)
         for k in range(GRAM):
             gram = gram * np.uint64(_BASE) + around[:, REACH + k].astype(np.uint64) + np.uint64(1)
@@ -329,15 +350,15 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         rows = []
         for b in np.unique(bucket).tolist():
             k = np.flatnonzero(bucket == b)
-            rows.append((b, False, packed(i[k], p[k], before[k], after[k], around[k].reshape(-1))))
+            rows.append((b, False, packed(i[k], r[k], p[k], before[k], after[k], around[k].reshape(-1))))
         return _sent(rows)
 
     def order_bucket(table):
-        got = [unpacked(d, np.int64, np.int64, np.uint8, np.uint8, np.uint8) for d in table.column("data").to_pylist()]
-        i, p, before, after, around = map(np.concatenate, zip(*got, strict=True))
-        ids, starts, ends = judge_suffixes(i, p, before.astype(np.int64), after.astype(np.int64),
+        got = [unpacked(d, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8) for d in table.column("data").to_pylist()]
+        i, r, p, before, after, around = map(np.concatenate, zip(*got, strict=True))
+        ids, numbers, starts, ends = judge_suffixes(i, r, p, before.astype(np.int64), after.astype(np.int64),
                                            around.reshape(len(i), REACH + LENGTH))
-        return _sent((s, False, d) for s, d in _by_slot(slots, ids, starts, ends))
+        return _sent((s, False, d) for s, d in _by_slot(slots, ids, numbers, starts, ends))
 
     result = T.StructType([*docs.schema.fields, T.StructField(kept, T.BinaryType()),
                            T.StructField(removed, T.ArrayType(T.LongType()))])
@@ -346,26 +367,26 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         spans = []
         for whole, data in zip(marks.column("whole").to_pylist(), marks.column("data").to_pylist(), strict=True):
             if whole:
-                i, p = unpacked(data, np.int64, np.int64)
-                spans.append((i, p - REACH, p + LENGTH))
+                i, r, p = unpacked(data, np.int64, np.int64, np.int64)
+                spans.append((i, r, p - REACH, p + LENGTH))
             else:
-                spans.append(unpacked(data, np.int64, np.int64, np.int64))
-        whose, starts, ends = (map(np.concatenate, zip(*spans, strict=True)) if spans
-                               else (np.empty(0, np.int64),) * 3)
-        order = np.argsort(whose, kind="stable")
-        whose, starts, ends = whose[order], starts[order], ends[order]
-        ids = _ids(docs.column(doc_id).cast(pa.int64()))
+                spans.append(unpacked(data, np.int64, np.int64, np.int64, np.int64))
+        whose, which, starts, ends = (map(np.concatenate, zip(*spans, strict=True)) if spans
+                                      else (np.empty(0, np.int64),) * 4)
+        order = np.argsort(which, kind="stable")
+        whose, which, starts, ends = whose[order], which[order], starts[order], ends[order]
+        ids, numbers = _ids(docs.column(doc_id).cast(pa.int64())), docs.column("__number").to_numpy()
         left, gone_at, texts, sizes = [], [], [], docs.column("__size").to_pylist()
         for k, raw in texts_of(docs):
-            lo, hi = np.searchsorted(whose, ids[k], "left"), np.searchsorted(whose, ids[k], "right")
+            own = _own(whose, which, ids[k], numbers[k])
             texts.append(None if sizes[k] is None else raw.decode("utf-8", "surrogatepass"))
-            if lo == hi:
+            if not len(own):
                 left.append(raw)
                 gone_at.append([])
                 continue
             depth = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(depth, np.clip(starts[lo:hi], 0, len(raw)), 1)
-            np.add.at(depth, np.clip(ends[lo:hi], 0, len(raw)), -1)
+            np.add.at(depth, np.clip(starts[own], 0, len(raw)), 1)
+            np.add.at(depth, np.clip(ends[own], 0, len(raw)), -1)
             gone = np.cumsum(depth[:-1]) > 0
             left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
@@ -376,7 +397,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
                         names=[*columns, kept, removed])
 
     slotted = T.StructType([*[f for f in docs.schema.fields if f.name != text], T.StructField("__slot", T.LongType()),
-                            T.StructField("__size", T.LongType()), T.StructField("__bytes", T.BinaryType())])
+                            T.StructField("__number", T.LongType()), T.StructField("__size", T.LongType()), T.StructField("__bytes", T.BinaryType())])
     dealt = docs.mapInArrow(compressed, slotted)
     anchors = narrow.mapInArrow(send_anchors, _SENT_DDL)
     marks = keep(anchors.groupBy("to").applyInArrow(judge_bucket, _SENT_DDL), "marks")

@@ -209,6 +209,36 @@ def test_repeats_edge_cases(make, spark):
     assert suffix_dedup.find_repeats(make([])).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(make):
+    rng = random.Random(6)
+    shared = [words_text(rng, 30, 50) for _ in range(4)]
+    texts, ids = [], []
+    for i in (None, None, None, None, 7, 7, 7, 3, 5):
+        t = words_text(rng, rng.randint(0, 30), 3000)
+        for s in rng.sample(shared, 2):
+            t += " " + s[rng.randint(0, 20):] + " " + words_text(rng, 20, 3000)
+        texts.append(t)
+        ids.append(i)
+    texts += [texts[4], texts[0], shared[0]]   # equal rows, and a short text beside long ones
+    ids += [7, None, None]
+    ranks = [suffix_dedup.LAST_ID if i is None else i for i in ids]
+    want = []
+    for i, t in zip(ranks, texts, strict=True):
+        raw, gone = t.encode(), [False] * len(t.encode())
+        smaller = [o.encode() for j, o in zip(ranks, texts, strict=True) if j < i]
+        for j in range(len(raw) - 49):
+            if any(raw[j:j + 50] in o for o in smaller):
+                gone[j:j + 50] = [True] * 50
+        want.append((i, t, bytes(c for c, g in zip(raw, gone, strict=True) if not g)))
+    got = suffix_dedup.find_repeats(make(texts, ids)).collect()
+    assert sorted((suffix_dedup.LAST_ID if r["doc_id"] is None else r["doc_id"], r["text"], bytes(r["kept"]))
+                  for r in got) == sorted(want)
+    assert any(len(k) < len(t) for _, t, k in want) and any(len(k) == len(t) for _, t, k in want)
+    raw = [t.encode() for t in texts]
+    numbers = suffix_dedup.numbers_of(np.full(len(raw), suffix_dedup.LAST_ID), raw)
+    assert len(set(suffix_dedup.slots_of(numbers, 1000).tolist())) > len(raw) // 2
+
+
 def test_deep_shallow_order(make):
     rng = random.Random(6)
     rows = [bytes(rng.choice(b"ab") for _ in range(50)) for _ in range(300)]
