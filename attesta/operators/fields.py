@@ -303,7 +303,7 @@ def type_disagreement(docs: DataFrame, specs: dict = rules.FIELD_SPECS) -> DataF
 def document_issues(keys: Sequence[str], mismatches: DataFrame, cross: DataFrame,
                     fields: DataFrame, validity: DataFrame, notes: DataFrame) -> DataFrame:
     """D12. All document issues in reading order, one array per document: type, rules between
-    fields, fields, validity, legibility note (300 characters). A document has at most a few
+    fields, fields, validity, legibility note. A document has at most a few
     issues per field of its list."""
     keys = list(keys)
 
@@ -312,7 +312,7 @@ def document_issues(keys: Sequence[str], mismatches: DataFrame, cross: DataFrame
                                          item.alias("i")).alias("x"))
 
     row = F.struct("code", "message", "field", "severity")
-    note = t.issue("LEGIBILITY_NOTE", F.substring("legibility_notes", 1, 300), None, "INFO")
+    note = t.issue("LEGIBILITY_NOTE", F.col("legibility_notes"), None, "INFO")
     every = part(mismatches, 0, F.lit(0), F.col("issue"))
     every = every.unionByName(part(cross, 1, F.col("pos"), row))
     own = fields.where(F.col("scope") == "document")

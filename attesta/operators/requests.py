@@ -89,7 +89,7 @@ def flagged_accounts(accounts: DataFrame, flag: str = "DV_Requested",
         df = df.where(t.is_cod("Credit_Terms"))
     return df.select(
         "account_id", col("Inventory_Customer_Number").alias("customer_number"),
-        F.substring(F.coalesce(col("DV_Request_Reason"), F.lit("")), 1, 500).alias("reason"),
+        F.coalesce(col("DV_Request_Reason"), F.lit("")).alias("reason"),
         F.lit("YES").alias("document_status"),
         F.when(col("DV_Requested_By") != "", col("DV_Requested_By")).alias("requested_by_email"),
         F.when(col("DV_Requested_At") != "", col("DV_Requested_At")).alias("requested_at"),

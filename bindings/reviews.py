@@ -13,8 +13,8 @@ from attesta.operators import decide as d
 # ---------------------------------------------------------------- H1-H3
 EVIDENCE = FACTS.replace("'field' AS source_field", "'attr' AS attr, 'field' AS source_field")
 register("review_rows", {"props": PROPOSALS, "facts": EVIDENCE},
-    lambda props, facts: rv.build_review_rows(props, rv.evidence_lines(
-        facts.withColumn("attribute", F.lit("attr")).where(F.col("confidence") > 0.9))).select(
+    lambda props, facts: rv.for_record(rv.build_review_rows(props, rv.evidence_lines(
+        facts.withColumn("attribute", F.lit("attr")).where(F.col("confidence") > 0.9))), texts=2000).select(
         "account_id", "row_pos", "target_field", "field_label", "proposed_value", "action",
         "ocr_check", "auto_applied", "decision", "evidence"),
     """
@@ -54,9 +54,9 @@ SUM_ACTS = ("SELECT cast(c_custkey AS string) AS account_id, 0 AS pos, 'payment_
             "c_custkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, 'Payment Terms: empty' AS detail FROM {customer}")
 register("review_summary", {"alerts": SUM_ALERTS, "recs": SUM_RECS, "acts": SUM_ACTS, "formed": _FORMED, "docs": DOCS,
                             "props": PROPOSALS},
-    lambda alerts, recs, acts, formed, docs, props: rv.review_summary(
+    lambda alerts, recs, acts, formed, docs, props: rv.for_record(rv.review_summary(
         recs.withColumn("reasons", F.array("r1", "r2")), alerts, d.check_requirements(docs, formed), acts, props,
-        recs, docs.groupBy("account_id").agg(F.count("*").alias("n"))).select(
+        recs, docs.groupBy("account_id").agg(F.count("*").alias("n"))), texts=2000).select(
         "account_id", "recommendation_reasons", "alerts", "documents_found", "lowest_confidence"),
     """
     , a AS (SELECT account_id, string_agg(n || '. ' || t, chr(10) ORDER BY pos) AS alerts FROM (SELECT account_id, pos,
