@@ -1,8 +1,9 @@
 """The operators over the driver tables, with production parameters, and their SQL where SQL can tell."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_counts, toxicity
+from . import context_mixing, decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_alignment, token_counts, toxicity
 from .common import fold, prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -140,3 +141,9 @@ def op8(spark, sf_dir):
 @register("op9_lm_scoring")
 def op9(spark, sf_dir):
     return context_mixing.score(read(spark, sf_dir, "documents"), fold(10, 0))
+
+
+@register("op12_token_alignment")
+def op12(spark, sf_dir):
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
