@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_alignment, token_counts, toxicity
+from . import context_mixing, decontaminate, embedding_whitening, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_alignment, token_counts, toxicity
 from .common import fold, prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -147,3 +147,8 @@ def op9(spark, sf_dir):
 def op12(spark, sf_dir):
     return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    return embedding_whitening.whiten(read(spark, sf_dir, "embeddings"))
