@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, embedding_whitening, html_density, language_id, order_minhash, packing, quality_lines, suffix_dedup, token_alignment, token_counts, toxicity
+from . import context_mixing, decontaminate, embedding_whitening, html_density, language_id, order_minhash, packing, projection_forest, quality_lines, suffix_dedup, token_alignment, token_counts, toxicity
 from .common import fold, prepared, read
 
 QUERIES, ORACLES = {}, {}
@@ -152,3 +152,8 @@ def op12(spark, sf_dir):
 @register("op11_embedding_whitening")
 def op11(spark, sf_dir):
     return embedding_whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@register("op13_embedding_near_dedup")
+def op13(spark, sf_dir):
+    return projection_forest.link(read(spark, sf_dir, "embeddings"))
