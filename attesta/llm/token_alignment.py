@@ -6,11 +6,12 @@ of a group is linked with every B token of it.
 
 * **Divide.** Both tokenizers end a token before a single space between two visible characters: A's pattern
   starts a pre-token there, and no piece of B goes on past a space (checked when the model is loaded; a
-  model for which that fails is not divided so). The text falls into segments there, and equal segments are
-  equal subproblems: a worker remembers the short ones.
+  model for which that fails is not divided so). The text falls into segments there, and equal segments of a
+  chunk are one subproblem.
 * **Conquer.** Within a segment, a shared end near the middle is located by bisecting B's ends for A's,
   outward from the middle; both halves are treated alike, and what was searched in vain is not searched
-  again. An interval without a shared end is a leaf: one group.
+  again. An interval without a shared end is a leaf: one group. The intervals of all segments of a chunk go
+  down together, level by level.
 
 How often a pair of ids is linked is counted over all documents. A *chunk* of documents (``CHUNK_BYTES`` of
 text; a longer text is a chunk of its own) is written with its distinct pairs, so that each chunk asks for the
@@ -25,7 +26,6 @@ documents of their own. An empty table gives an empty result. Other columns are
 import base64
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -37,50 +37,58 @@ from pyspark.sql import functions as F
 from .common import keep
 
 #: Text bytes whose pairs are asked for together.
-CHUNK_BYTES = 8 << 20
-#: What a worker remembers of segments, and the longest segment it remembers, in bytes.
-REMEMBERED_BYTES, SHORT = 48 << 20, 64
+CHUNK_BYTES = 4 << 20
+#: A group with more links than this is counted by its distinct ids.
+LARGE = 4096
 #: A pair of ids as one number: A's times this, plus B's.
 B_IDS = 1 << 15
 
-_SPLIT = re.compile(r"(?<=\S)(?= \S)")
+#: Segments given to a tokenizer in one string.
+AT_ONCE = 250
+
+_SPLIT, _DOUBLE = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
           "groups_sha256 string")
 
 
-def shared_cuts(a, b) -> list[tuple[int, int]]:
-    """Where tokens of both end, as (tokens of A before, tokens of B before), in order.
-
-    ``a`` and ``b`` are rising end offsets; the last ones are equal."""
-    cuts = [(len(a), len(b))]
-    work = [(0, len(a) - 1, 0, len(b) - 1)]
-    while work:
-        i, j, k, l = work.pop()
-        if i >= j or k >= l:
-            continue
-        left, right = (i + j) // 2, (i + j) // 2 + 1
-        while left >= i or right < j:
-            if left >= i:
-                y = bisect_left(b, a[left], k, l)
-                if y < l and b[y] == a[left]:
-                    cuts.append((left + 1, y + 1))
-                    work += (i, left, k, y), (right, j, y + 1, l)
-                    break
-                left -= 1
-            if right < j:
-                y = bisect_left(b, a[right], k, l)
-                if y < l and b[y] == a[right]:
-                    cuts.append((right + 1, y + 1))
-                    work += (i, left + 1, k, y), (right + 1, j, y + 1, l)
-                    break
-                right += 1
-    cuts.sort()
-    return cuts
+def shared_cuts(a, b, first, last):
+    """Places in ``a`` and in ``b`` (rising end offsets) of shared ends, in order, within the intervals
+    ``first`` to ``last`` (places in ``a``, the last one excluded); all intervals are halved together."""
+    found, i, j = [], np.asarray(first, np.int64), np.asarray(last, np.int64)
+
+    def shared(at):
+        y = np.minimum(np.searchsorted(b, a[at]), len(b) - 1)
+        return b[y] == a[at]
+
+    keep_ = i < j
+    i, j = i[keep_], j[keep_]
+    left = (i + j) // 2
+    right = left + 1
+    while len(i):
+        hit_left = left >= i
+        hit_left[hit_left] = shared(left[hit_left])
+        hit_right = ~hit_left & (right < j)
+        hit_right[hit_right] = shared(right[hit_right])
+        found += [left[hit_left], right[hit_right]]
+        # a cut leaves two intervals; what lies between left and right is known to hold none
+        new_i = np.concatenate((i[hit_left], right[hit_left], i[hit_right], right[hit_right] + 1))
+        new_j = np.concatenate((left[hit_left], j[hit_left], left[hit_right], j[hit_right]))
+        go_on = ~hit_left & ~hit_right
+        left, right = left[go_on] - 1, right[go_on] + 1
+        i, j = i[go_on], j[go_on]
+        on = (left >= i) | (right < j)
+        keep_ = new_i < new_j
+        new_i, new_j = new_i[keep_], new_j[keep_]
+        middle = (new_i + new_j) // 2
+        i, j = np.concatenate((i[on], new_i)), np.concatenate((j[on], new_j))
+        left, right = np.concatenate((left[on], middle)), np.concatenate((right[on], middle + 1))
+    cuts = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return cuts, np.searchsorted(b, a[cuts])
 
 
 class Pair:
-    """The two tokenizers and what is remembered of segments."""
+    """The two tokenizers, and their tokens as bytes."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         import public_tokenizers
@@ -89,54 +97,129 @@ class Pair:
         with open(byte_bpe, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_bytes = {r: t for t, r in ranks.items()}
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.a_bytes[r] = t
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if len(names) > B_IDS:
-            raise ValueError(f"B has more than {B_IDS} ids")
+        if len(names) > B_IDS or len(self.a_bytes) * B_IDS >= 2**31:
+            raise ValueError("pairs of ids don't fit 31 bits")
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode()
                         for i, n in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.divided = not any("▁" in n.lstrip("▁") for n in names)
-        self.known, self.size = {}, 0
+        # an id of A, then of B, each as written within its side of a group and as its last
+        self.written = [f"{i}{mark}".encode() for ids, marks in ((len(self.a_bytes), ",|"), (len(names), ",;"))
+                        for i in range(ids) for mark in marks]
 
     def segments(self, text: str) -> list[str]:
-        return _SPLIT.split(" " + text) if self.divided else [" " + text]
-
-    def solved(self, segment: str):
-        """(tokens of A, of B, groups, links), the groups as text, pairs and how often each is linked;
-        None in place of the groups if the tokens don't join to the segment."""
-        found = self.known.get(segment)
-        if found is None:
-            found = self._solve(segment)
-            size = len(segment) + len(found[1] or b"") + 16 * len(found[2]) + 600
-            if len(segment) <= SHORT:
-                if self.size + size > REMEMBERED_BYTES:
-                    self.known, self.size = {}, 0
-                self.known[segment] = found
-                self.size += size
-        return found
-
-    def _solve(self, segment):
-        a, b = self.a.encode_ordinary(segment), self.b.encode(segment[1:])   # B adds the space
-        whole = segment.encode("utf-8", "surrogatepass")
-        one, two = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(one) != whole or b"".join(two) != whole:
-            return (0, 0, 0, 0), None, (), ()
-        cuts = shared_cuts(np.cumsum([len(x) for x in one]).tolist(), np.cumsum([len(x) for x in two]).tolist())
-        links, groups, i, k = Counter(), [], 0, 0
-        for j, l in cuts:
-            x, y = a[i:j], b[k:l]
-            groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            if len(x) == len(y) == 1:
-                links[x[0] * B_IDS + y[0]] += 1
-            else:
-                y = Counter(y).items()
-                for p, n in Counter(x).items():
-                    for q, m in y:
-                        links[p * B_IDS + q] += n * m
-            i, k = j, l
-        return ((len(a), len(b), len(cuts), sum(links.values())), ";".join(groups).encode(),
-                tuple(links), tuple(links.values()))
+        """The segments of space + text, each without the space it starts with."""
+        if not self.divided:
+            return [text]
+        if text[0].isspace() or text[-1] == " " or _DOUBLE.search(text):
+            return [s[1:] for s in _SPLIT.split(" " + text)]
+        return text.split(" ")      # every space stands between two visible characters
+
+    def tokens(self, texts: list[str]):
+        """Ids of A and B over several texts, each with a space put before it (B adds it by itself), or None if
+        they don't join to that."""
+        a = [i for t in texts for i in self.a.encode_ordinary(" " + t)]
+        b = [i for ids in self.b.encode(texts, num_threads=1) for i in ids]
+        whole = "".join([" " + t for t in texts]).encode("utf-8", "surrogatepass")
+        joined = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
+        return (a, b) if joined else None
+
+
+def _distinct(x, count=False):
+    """The distinct values of ``x``, sorted, and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return (x[first], np.diff(first, append=len(x))) if count else x[first]
+
+
+def _spread(starts, rows):
+    """The places of all entries of the given rows of a table stored as starts, one row after the other."""
+    sizes = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - (ends - sizes), sizes), sizes
+
+
+def _starts(sizes):
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+class Solved:
+    """Distinct segments, aligned: ``totals`` (tokens of A, of B, groups, links) of each, ``groups`` as text
+    (None if the tokens don't join to it), and its distinct ``pairs`` with their ``links`` from ``starts`` on."""
+
+    def __init__(self, pair: Pair, segments: list[str]):
+        # those that read the same when put one after the other are read in one go
+        plain = [i for i, s in enumerate(segments) if s and not s[0].isspace() and not s[-1].isspace()
+                 and "▁" not in s] if pair.divided else []
+        read = pair.tokens([" ".join([segments[i] for i in plain[k:k + AT_ONCE]])
+                            for k in range(0, len(plain), AT_ONCE)]) if plain else None
+        if read is None:
+            plain, read = [], ([], [])
+        alone, failed, taken = [], [], set(plain)
+        a, b = [np.array(read[0], np.int64)], [np.array(read[1], np.int64)]
+        for i, s in enumerate(segments):
+            if i not in taken:
+                found = pair.tokens([s])
+                if found is None:
+                    failed.append(i)
+                else:
+                    alone.append(i)
+                    a.append(np.array(found[0], np.int64))
+                    b.append(np.array(found[1], np.int64))
+        order = np.array(plain + alone, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        a_ends, b_ends = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
+        ends = np.cumsum([1 + len(segments[i].encode("utf-8", "surrogatepass")) for i in order.tolist()], dtype=np.int64)
+        a_last, b_last = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        a_first, b_first = _starts(np.diff(a_last + 1, prepend=0)), _starts(np.diff(b_last + 1, prepend=0))
+        cut_a, cut_b = shared_cuts(a_ends, b_ends, a_first[:-1], a_last)
+        group_a, group_b = np.union1d(cut_a, a_last), np.union1d(cut_b, b_last)      # last tokens of groups
+        n_a, n_b = np.diff(group_a + 1, prepend=0), np.diff(group_b + 1, prepend=0)
+        of = np.searchsorted(a_last, group_a)                                        # group -> place in order
+        self._links(a, b, group_a + 1 - n_a, group_b + 1 - n_b, n_a, n_b, order[of], len(segments))
+        self.totals = np.zeros((len(segments), 4), np.int64)
+        self.totals[order] = np.stack([np.diff(a_first), np.diff(b_first), np.bincount(of, minlength=len(order)),
+                                       np.bincount(of, n_a * n_b, len(order)).astype(np.int64)], 1)
+        # written out: the A tokens of a group, then its B tokens
+        places = np.empty(len(a) + len(b), np.int64)
+        ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends_a[group_a], ends_b[group_b] = 1, 1
+        places[np.arange(len(a)) + np.repeat(group_b + 1 - n_b, n_a)] = 2 * a + ends_a
+        places[np.arange(len(b)) + np.repeat(group_a + 1, n_b)] = 2 * (len(pair.a_bytes) + b) + ends_b
+        words = list(map(pair.written.__getitem__, places.tolist()))
+        cuts = (a_first + b_first).tolist()
+        self.groups = [None] * len(segments)
+        for k, i in enumerate(order.tolist()):
+            self.groups[i] = b"".join(words[cuts[k]:cuts[k + 1]])
+
+    def _links(self, a, b, from_a, from_b, n_a, n_b, segment, segments):
+        sizes = n_a * n_b
+        large = np.flatnonzero(sizes > LARGE)
+        sizes[large] = 0
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        within = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = a[from_a[group] + within // n_b[group]] * B_IDS + b[from_b[group] + within % n_b[group]]
+        keys, links = _distinct(segment[group] << 32 | codes, count=True)
+        more = Counter()
+        for g in large.tolist():
+            y = Counter(b[from_b[g]:from_b[g] + n_b[g]].tolist()).items()
+            for p, n in Counter(a[from_a[g]:from_a[g] + n_a[g]].tolist()).items():
+                for q, m in y:
+                    more[int(segment[g]) << 32 | p * B_IDS + q] += n * m
+        if more:
+            keys = np.concatenate((keys, np.fromiter(more, np.int64, len(more))))
+            links = np.concatenate((links, np.fromiter(more.values(), np.int64, len(more))))
+            keys, at = np.unique(keys, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, links)
+            links = total
+        self.pairs, self.links = keys & 0xFFFFFFFF, links
+        self.starts = np.searchsorted(keys, np.arange(segments + 1) << 32)
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -149,71 +232,63 @@ def pair_of(byte_bpe: str, pieces: str) -> Pair:
     return _PAIRS[byte_bpe, pieces]
 
 
-CHUNK = ("chunk long, codes array<int>, holding array<int>, doc_id array<long>, counts binary, groups binary, "
-         "segment_at binary, segment_codes binary, segment_links binary, doc_at binary, doc_segments binary, "
-         "doc_times binary")
+CHUNK = ("chunk long, codes array<int>, holding array<int>, doc_id array<long>, lengths array<long>, counts binary, "
+         "groups binary, segment_at binary, segment_pairs binary, segment_links binary, doc_at binary, "
+         "doc_segments binary, doc_times binary")
 _CHUNK = pa.schema([("chunk", pa.int64()), ("codes", pa.list_(pa.int32())), ("holding", pa.list_(pa.int32())),
-                    ("doc_id", pa.list_(pa.int64())),
-                    *[(c, pa.binary()) for c in ("counts", "groups", "segment_at", "segment_codes", "segment_links",
+                    ("doc_id", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+                    *[(c, pa.binary()) for c in ("counts", "groups", "segment_at", "segment_pairs", "segment_links",
                                                  "doc_at", "doc_segments", "doc_times")]])
 
 
-class Segments(dict):
-    """The distinct segments of a chunk by their numbers."""
-
-    def __init__(self, pair: Pair):
-        super().__init__()
-        self.pair, self.solved = pair, []
+class Numbers(dict):
+    """The distinct segments of a chunk, numbered as they come."""
 
     def __missing__(self, segment):
-        self[segment] = number = len(self.solved)
-        self.solved.append(self.pair.solved(segment))
+        self[segment] = number = len(self)
         return number
 
 
-def _starts(sizes):
-    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+def _packed(x) -> bytes:
+    """Whole numbers, as differences and compressed."""
+    return pa.compress(np.diff(x, prepend=0).astype(np.int64).tobytes(), codec="zstd", asbytes=True)
 
 
-def _spread(starts, rows):
-    """The places of all entries of the given rows of a table stored as starts, one row after the other."""
-    sizes = starts[rows + 1] - starts[rows]
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - (ends - sizes), sizes), sizes
+def _unpacked(x: bytes, size: int):
+    return np.cumsum(np.frombuffer(pa.decompress(x, 8 * size, codec="zstd", asbytes=True), np.int64))
 
 
 def _chunk(number: int, ids, texts, pair: Pair):
     """One chunk as a row: its distinct pairs with the number of its documents that hold them, its segments
     by their pairs, its documents by their segments."""
-    segments = Segments(pair)
-    lists = [np.fromiter(map(segments.__getitem__, pair.segments(t)), np.int64) if t else np.empty(0, np.int64)
+    numbers = Numbers()
+    lists = [np.fromiter(map(numbers.__getitem__, pair.segments(t)), np.int64) if t else np.empty(0, np.int64)
              for t in texts]
-    solved = segments.solved
-    groups = [s[1] for s in solved]
+    solved = Solved(pair, list(numbers))
+    groups = solved.groups
     failed = {i for i, g in enumerate(groups) if g is None}
     if failed:
         lists = [x[:0] if not failed.isdisjoint(x.tolist()) else x for x in lists]
-    shas = b"".join(hashlib.sha256(b";".join([groups[i] for i in x.tolist()])).digest() if len(x) else bytes(32)
+    shas = b"".join(hashlib.sha256(b"".join([groups[i] for i in x.tolist()])[:-1]).digest() if len(x) else bytes(32)
                     for x in lists)
     sizes = np.array([len(x) for x in lists], np.int64)
     of = np.repeat(np.arange(len(lists)), sizes)
     every = np.concatenate(lists) if lists else np.empty(0, np.int64)
-    totals = np.array([s[0] for s in solved], np.int64).reshape(-1, 4)
-    counts = np.stack([np.bincount(of, totals[every, c], len(lists)) for c in range(4)], 1).astype(np.int64)
-    keys, times = np.unique(of << 32 | every, return_counts=True)
+    counts = np.stack([np.bincount(of, solved.totals[every, c], len(lists)) for c in range(4)], 1).astype(np.int64)
+    keys, times = _distinct(of << 32 | every, count=True)
     doc, segment = keys >> 32, keys & 0xFFFFFFFF
-    starts = _starts([len(s[2]) for s in solved])
-    pairs = np.fromiter((c for s in solved for c in s[2]), np.int64, starts[-1])
-    links = np.fromiter((c for s in solved for c in s[3]), np.int64, starts[-1])
-    places, sizes = _spread(starts, segment)
-    held = np.unique(np.repeat(doc, sizes) << 32 | pairs[places]) & 0xFFFFFFFF
-    codes, holding = np.unique(held, return_counts=True)
+    places, sizes = _spread(solved.starts, segment)
+    held = _distinct(np.repeat(doc, sizes) << 32 | solved.pairs[places]) & 0xFFFFFFFF
+    codes, holding = _distinct(held, count=True)
+    # pairs by their place among the chunk's codes (those of texts left out have none that is used)
+    at = np.searchsorted(codes, solved.pairs)
+    lengths = [len(solved.starts), len(at), len(lists) + 1, len(segment)]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([codes.astype(np.int32)], pa.list_(pa.int32())),
          pa.array([holding.astype(np.int32)], pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int64())),
-         *[pa.array([x.tobytes() if not isinstance(x, bytes) else x], pa.binary()) for x in (
-             counts, shas, starts, pairs.astype(np.int32), links, _starts(np.bincount(doc, minlength=len(lists))),
-             segment.astype(np.int32), times.astype(np.int32))]], schema=_CHUNK)
+         pa.array([lengths], pa.list_(pa.int64())), pa.array([counts.tobytes()]), pa.array([shas]),
+         *[pa.array([_packed(x)]) for x in (solved.starts, at, solved.links,
+                                            _starts(np.bincount(doc, minlength=len(lists))), segment, times)]], schema=_CHUNK)
 
 
 def chunks(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
@@ -237,23 +312,20 @@ def chunks(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
 
 def _digest(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one chunk, from the counts of its pairs."""
-    order = np.argsort(answers["code"].to_numpy())
-    codes = answers["code"].to_numpy()[order]
-    count, best = answers["count"].to_numpy()[order], answers["best"].to_numpy()[order]
-    row = {c: chunk[c][0] for c in chunk.column_names}
-    taken = lambda c, t: np.frombuffer(row[c].as_py(), t)
-    ids = row["doc_id"].as_py()
-    starts, pairs, links = taken("segment_at", np.int64), taken("segment_codes", np.int32), taken("segment_links", np.int64)
-    at = np.minimum(np.searchsorted(codes, pairs), max(len(codes) - 1, 0))
-    # pairs of texts that were left out have no count and are not reached below
-    sums = np.concatenate(([0], np.cumsum(links * count[at]))) if len(codes) else np.zeros(len(pairs) + 1, np.int64)
-    tops = np.concatenate(([0], np.cumsum(links * (count[at] == best[at])))) if len(codes) else sums
-    by_segment = np.stack([tops[starts[1:]] - tops[starts[:-1]], sums[starts[1:]] - sums[starts[:-1]]], 1)
-    segment, times = taken("doc_segments", np.int32), taken("doc_times", np.int32).astype(np.int64)
+    order = np.argsort(answers["code"].to_numpy())          # the chunk's codes, in its own order
+    count = np.append(answers["count"].to_numpy()[order], 0)
+    best = np.append(answers["best"].to_numpy()[order], -1)
+    row = {c: chunk[c][0].as_py() for c in chunk.column_names}
+    ids, (n_starts, n_pairs, n_docs, n_segments) = row["doc_id"], row["lengths"]
+    starts = _unpacked(row["segment_at"], n_starts)
+    pairs, links = _unpacked(row["segment_pairs"], n_pairs), _unpacked(row["segment_links"], n_pairs)
+    sums = np.concatenate(([0], np.cumsum(links * count[pairs])))
+    tops = np.concatenate(([0], np.cumsum(links * (count[pairs] == best[pairs]))))
+    by_segment = np.stack([np.diff(tops[starts]), np.diff(sums[starts])], 1)
+    segment, times = _unpacked(row["doc_segments"], n_segments), _unpacked(row["doc_times"], n_segments)
     running = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(by_segment[segment] * times[:, None], 0)))
-    doc_at = taken("doc_at", np.int64)
-    found = running[doc_at[1:]] - running[doc_at[:-1]]
-    counts, shas = taken("counts", np.int64).reshape(-1, 4), row["groups"].as_py()
+    found = np.diff(running[_unpacked(row["doc_at"], n_docs)], axis=0)
+    counts, shas = np.frombuffer(row["counts"], np.int64).reshape(-1, 4), row["groups"]
     hexes = [shas[32 * i:32 * i + 32].hex() if counts[i, 0] else "" for i in range(len(ids))]
     return pa.table({"doc_id": pa.array(ids, pa.int64()), **{c: counts[:, k] for k, c in enumerate(_COUNTS)},
                      "n_best": found[:, 0], "count_sum": found[:, 1], "groups_sha256": pa.array(hexes, pa.string())})
@@ -286,12 +358,14 @@ def links(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     def aligned(batches):
         pair = pair_of(byte_bpe, pieces)
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                parts = [pair.solved(s)[1] for s in pair.segments(t)] if t else []
+            texts, numbers, out = batch.column(1).to_pylist(), Numbers(), []
+            lists = [[numbers[s] for s in pair.segments(t)] if t else [] for t in texts]
+            groups = Solved(pair, list(numbers)).groups
+            for x in lists:
+                parts = [groups[i] for i in x]
                 out.append(None if None in parts else [
                     {"a": list(map(int, a.split(b","))), "b": list(map(int, b.split(b",")))}
-                    for part in parts for a, b in (g.split(b"|") for g in part.split(b";"))])
+                    for part in parts for a, b in (g.split(b"|") for g in part[:-1].split(b";"))])
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.list_(pa.struct([("a", ints), ("b", ints)])))],

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -97,30 +98,45 @@ def test_alignment_equals_whole_texts(spark, tokens, monkeypatch):
         assert (r["groups"] or None) == (None if gs is None else [(a, b) for a, b in gs])
 
 
-def test_small_chunks_and_little_memory_give_the_same(spark, tokens, monkeypatch):
-    monkeypatch.setattr(token_alignment, "REMEMBERED_BYTES", 5000)
+def test_segments_and_large_groups_give_the_same(tokens, monkeypatch):
+    monkeypatch.setattr(token_alignment, "LARGE", 2)
     pair = token_alignment.Pair(RANKS, MODEL)
     rng = random.Random(3)
-    for _ in range(200):
-        text = fuzz(rng)
-        parts = [pair.solved(s) for s in pair.segments(text)]
-        gs = brute_groups(text, tokens)
-        assert (gs is None) == any(p[1] is None for p in parts)
-        if gs is not None:
-            assert sum(p[0][2] for p in parts) == len(gs)
-    assert pair.size <= 5000
+    for _ in range(60):
+        texts = [fuzz(rng) for _ in range(rng.randint(1, 9))]
+        for t in texts:
+            segments = list(dict.fromkeys(pair.segments(t)))
+            solved = token_alignment.Solved(pair, segments)
+            groups = [solved.groups[segments.index(s)] for s in pair.segments(t)]
+            gs = brute_groups(t, tokens)
+            assert (gs is None) == (None in groups)
+            if gs is not None:
+                assert b"".join(groups)[:-1].decode() == ";".join(
+                    f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in gs)
+                got = Counter()
+                for s in pair.segments(t):
+                    i = segments.index(s)
+                    for c, n in zip(solved.pairs[solved.starts[i]:solved.starts[i + 1]], solved.links[solved.starts[i]:solved.starts[i + 1]]):
+                        got[int(c) // token_alignment.B_IDS, int(c) % token_alignment.B_IDS] += int(n)
+                assert got == Counter((a, b) for g in gs for a in g[0] for b in g[1])
 
 
 def test_cuts_of_uneven_intervals():
-    assert token_alignment.shared_cuts([1, 5, 9], [2, 5, 9]) == [(2, 2), (3, 3)]
-    assert token_alignment.shared_cuts([9], [9]) == [(1, 1)]
+    def cuts(a, b, first=(0,), last=None):
+        x, y = token_alignment.shared_cuts(np.array(a), np.array(b), first, last or [len(a)])
+        assert [a[i] for i in x] == [b[i] for i in y]
+        return [a[i] for i in x]
+    assert cuts([1, 5, 9], [2, 5, 9]) == [5, 9]
+    assert cuts([9], [9]) == [9]
     a = [1, 2, 3, *range(10, 2000, 2), 2001]
     b = [1, 2, 3, *range(11, 2001, 2), 2001]
-    assert token_alignment.shared_cuts(a, b) == [(1, 1), (2, 2), (3, 3), (len(a), len(b))]
+    assert cuts(a, b) == [1, 2, 3, 2001]
     rng = random.Random(5)
     for _ in range(300):
         a, b = ([*sorted(rng.sample(range(1, 40), rng.randint(0, 30))), 40] for _ in range(2))
-        assert [a[i - 1] for i, _ in token_alignment.shared_cuts(a, b)] == sorted(set(a) & set(b))
+        assert cuts(a, b) == sorted(set(a) & set(b))
+        k = rng.randint(0, len(a))
+        assert cuts(a, b, [0, k], [k, len(a)]) == sorted(set(a) & set(b))
 
 
 def test_empty_table(spark):
