@@ -327,8 +327,28 @@ def test_token_counts_equal_plain_dynamic_programming(make):
 # near duplicates
 
 def similarity(a, b):
-    a, b = [set(zip(*[w[k:] for k in range(5)], strict=False)) for w in (a.lower().split(), b.lower().split())]
-    return len(a & b) / max(1, len(a | b))
+    """1 - insertions and deletions of words / words of both, by the plain table of all prefixes."""
+    a, b = a.lower().split(), np.array(b.lower().split())
+    row = np.zeros(len(b) + 1, int)
+    for w in a:
+        row[1:] = np.maximum.accumulate(np.where(b == w, row[:-1] + 1, row[1:]))
+    return 2 * row[-1] / max(1, len(a) + len(b))
+
+
+def brute_classes(texts):
+    """Classes by alignment of all pairs, and the linked pairs of different texts."""
+    label, links = list(range(len(texts))), []
+    bags = [Counter((t or "").lower().split()) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        x, y = texts[a] or "", texts[b] or ""
+        if not x.split() or not y.split():
+            continue
+        possible = 2 * (bags[a] & bags[b]).total() >= 0.8 * (bags[a].total() + bags[b].total())
+        if x == y or possible and min(len(x.split()), len(y.split())) >= 5 and similarity(x, y) >= 0.8:
+            links.append((a, b))
+            low, high = sorted((label[a], label[b]))
+            label = [low if n == high else n for n in label]
+    return label, links
 
 
 def test_near_duplicates_equal_brute_force(make):
@@ -337,21 +357,37 @@ def test_near_duplicates_equal_brute_force(make):
     for _ in range(12):
         base = words_text(rng, rng.randint(60, 300), 5000).split()
         texts.append(" ".join(base))
-        for edits in (0, 1, 1, 2, 3, 9, 30):
+        for edits in (0, 1, 1, 2, 3, 9, 0.05, 0.1):
             copy = base[:]
-            for _ in range(edits):
+            for _ in range(int(edits if edits >= 1 else edits * len(base))):
                 copy[rng.randrange(len(copy))] = f"n{rng.random()}"
             texts.append(" ".join(copy))
+        texts.append(" ".join(base[len(base) // 2:] + base[:len(base) // 2]))        # the other way round: not linked
+        texts.append(" ".join(base[:20] + words_text(rng, 150, 90_000).split()))     # a passage in common: not linked
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(make(texts)).collect()}
-    label = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        x, y = texts[a] or "", texts[b] or ""
-        if x.split() and (x == y or similarity(x, y) >= 0.8):
-            low, high = sorted((label[a], label[b]))
-            label = [low if n == high else n for n in label]
+    label, _ = brute_classes(texts)
     assert got == dict(enumerate(label))
 
 
+def test_near_duplicates_recall_by_similarity(make):
+    """Pairs by themselves, so that nothing else joins them: words replaced, dropped and inserted at random."""
+    rng = random.Random(18)
+    for share, least in ((0.025, 1.0), (0.05, 0.99), (0.1, 0.98), (0.15, 0.95), (0.19, 0.7)):
+        texts = []
+        for _ in range(150):
+            base = words_text(rng, rng.randint(150, 400), 90_000).split()
+            copy = base[:]
+            for k in rng.sample(range(len(base)), int(share * len(base))):
+                copy[k] = rng.choice([f"n{rng.random()}", f"n{rng.random()}", "", f"{copy[k]} n{rng.random()}"])
+            texts += [" ".join(base), " ".join(copy)]
+        got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(make(texts)).collect()}
+        _, links = brute_classes(texts)
+        assert len(links) == 150
+        found = sum(got[a] == got[b] for a, b in links)
+        assert found >= least * len(links), (share, found)
+        assert len(set(got.values())) >= len(texts) - len(links)
+
+
 def test_near_duplicates_of_one_large_group(make):
     rng = random.Random(9)
     base = words_text(rng, 150, 9000).split()
@@ -365,18 +401,34 @@ def test_near_duplicates_of_one_large_group(make):
     assert order_minhash.near_duplicates(make([])).count() == 0
 
 
-def test_edit_distance_in_a_band():
+def test_alignment_in_a_band(monkeypatch):
     rng = random.Random(10)
-    for _ in range(300):
-        a = np.array([rng.randrange(6) for _ in range(rng.randint(0, 25))], np.uint64)
-        b = np.array([rng.randrange(6) for _ in range(rng.randint(0, 25))], np.uint64)
-        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i][j] = d[i - 1][j - 1] if a[i - 1] == b[j - 1] else 1 + min(d[i - 1][j], d[i][j - 1])
-        most = rng.randint(0, 40)
-        want = d[-1][-1] if d[-1][-1] <= most else None
-        assert order_minhash.edit_distance(a, b, most) == want
+    for whole in (2048, 0):
+        monkeypatch.setattr(order_minhash, "WHOLE", whole)
+        monkeypatch.setattr(order_minhash, "BAND", 2)
+        for _ in range(1500):
+            letters = rng.choice([2, 6, 40])
+            a = [rng.randrange(letters) for _ in range(rng.randint(0, 30))]
+            b = [rng.randrange(letters) for _ in range(rng.randint(0, 30))] if rng.random() < 0.5 else [
+                w for w in a for w in rng.choice([[w], [w], [w], [], [w, rng.randrange(letters)]])]
+            share = rng.choice([0.3, 0.5, 0.8, 0.9, 1.0])
+            want = similarity(" ".join(map(str, a)), " ".join(map(str, b))) >= share - 1e-12
+            x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+            if a and b:
+                assert order_minhash.edit_similarity_reaches(x, y, share) == want, (a, b, share)
+
+
+def test_keep_one_by_row(make, spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other = base.replace("w30", "x"), " ".join(f"v{k}" for k in range(60))
+    ids = [1, 7, 7, None, None, 3, 3, 5, None, None]
+    texts = [base, other, near, base, "alone in the world of words", other, other, None, "", "alone in the world of words"]
+    kept = order_minhash.keep_one(make(texts, ids)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(
+        [(1, base), (3, other), (5, None), (None, ""), (None, "alone in the world of words")], key=str)
+    assert order_minhash.keep_one(make([])).count() == 0
+    clashing = make(texts, ids).withColumnRenamed("lang", "label").withColumnRenamed("source", "__s")
+    assert order_minhash.keep_one(clashing).columns == clashing.columns and order_minhash.keep_one(clashing).count() == 5
 
 
 def test_components(spark):
