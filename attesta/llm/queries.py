@@ -39,7 +39,7 @@ m AS (SELECT r, line, copies,
 j AS (SELECT *, (sym * 100 >= nw * 30 OR (nw >= 10 AND bang * 100 >= nw * 50)) AS punctuation,
         ((sep >= 3 AND sep * 100 >= nw * 25) OR (nw <= 3 AND NOT regexp_matches(line,
           '[.!?…:;。！？؟।"''”’»)\]][\t\n\v\f\r ]*$'))) AS navigation,
-        (length(line) <= 300 AND regexp_matches(lower(line), '__BOILERPLATE__')) AS boilerplate FROM m),
+        (len(regexp_extract_all(lower(line), '__BOILERPLATE__')) * 300 >= greatest(length(line), 1)) AS boilerplate FROM m),
 l AS (SELECT r, sum(copies) AS n_lines, sum(copies) - count(*) AS n_dup_lines,
         sum(copies * length(line)) AS all_chars,
         sum(CASE WHEN punctuation THEN copies ELSE 0 END) AS n_punctuation,
