@@ -1,8 +1,8 @@
 """Packing tokenised documents into sequences: first-fit decreasing in randomised groups.
 
 ``pieces`` tokenises whole texts and cuts them at multiples of the sequence length, where they were
-read. ``pack`` deals the narrow piece rows into groups by a hash of document and place, so that a group
-has a bounded number of rows whatever the table holds, and one long document spreads over all groups.
+read. ``pack`` deals the narrow piece rows into groups by a hash of their row number, so that a group has a
+bounded number of rows whatever the table holds: null or repeated ids and long documents spread over all.
 In a group the pieces go, longest first, into the leftmost bin with room, found in a tournament tree of
 free capacities.
 
@@ -10,20 +10,22 @@ Defined cases: a null or empty text is the closing id alone; repeated rows are p
 columns are not carried (ids and places are enough to join them back).
 """
 
+from unicodedata import normalize
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, run_groups, text_batches
+from .common import free_name, keep, run_groups, text_batches
 
 SEQUENCE = 4096
 END_ID = 2
 #: Pieces in a group: enough for a good fit, few enough for one task.
 GROUP_PIECES = 20_000
-#: Words a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Bytes of words a worker remembers the ids of (as many again from before), and the longest word remembered.
+REMEMBERED_BYTES, SHORT = 24 << 20, 64
 #: Words encoded in one call.
 TOGETHER = 200
 
@@ -40,13 +42,14 @@ class WordIds(dict):
     """Ids of a space-free stretch of text as little-endian bytes, computed once.
 
     The tokenizer drops white space and no piece of it spans a space, so a text's ids are those of its
-    stretches in turn; nor does one span the end of a run of letters, so ASCII marks behind a word are
-    looked up apart. Stretches used since the last turnover are remembered, the rest forgotten."""
+    stretches in turn; nor does one span the end of a run of letters (as the tokenizer normalises them), so
+    ASCII marks behind a word are looked up apart. Short stretches used since the last turnover are
+    remembered, the rest forgotten; long ones are encoded each time."""
 
     def __init__(self, path):
         super().__init__()
         from tokenizers import Tokenizer
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.used = Tokenizer.from_file(path), {}, 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -59,21 +62,26 @@ class WordIds(dict):
                 out = self[core] + (self[marks] if marks else b"")
             else:
                 out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
+        self.remember(word, out)
         return out
 
+    def remember(self, word, ids):
+        if len(word) <= SHORT:
+            self[word] = ids
+            self.used += len(word) + len(ids) + 200
+
     def learn(self, words):
         """Encode the runs of letters among new words many at a time: a call costs more than a word."""
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+        if self.used > REMEMBERED_BYTES:
+            self.old, self.used = dict(self), 0
             self.clear()
         old, whole, new = self.old, [], set()
         for word in words:
-            if word in self:
+            if word in self or len(word) > SHORT:
                 continue
             known = old.get(word)
             if known is not None:
-                self[word] = known
+                self.remember(word, known)
                 continue
             core, marks = _parts(word)
             if core != word:
@@ -87,9 +95,10 @@ class WordIds(dict):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):   # each is one run of letters after the tokenizer's normalising too
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
+                for word, a, b in zip(some, [0, *ends], ends):  # noqa: B905
+                    self.remember(word, raw[a:b])
         for word, core, marks in whole:
-            self[word] = self[core] + self[marks] if marks else self[core]
+            self.remember(word, self[core] + self[marks] if marks else self[core])
 
     def texts(self, texts):
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -98,13 +107,14 @@ class WordIds(dict):
 
 
 def _parts(word):
-    """The letters of a word (ASCII in lower case) and the ASCII marks behind them."""
+    """The letters of a word (ASCII in lower case) and the ASCII marks behind them. Only what is letters
+    throughout in lower case too is taken apart: a capital I with a dot ends in a mark then."""
     core = word.rstrip(_MARKS)
     if core == word and not word.isascii():
         return word, ""
     if core.isascii() and core.isalpha():
         return core.lower(), word[len(core):]
-    return (core, word[len(core):]) if core.isalpha() else (word, "")
+    return (core, word[len(core):]) if core.isalpha() and normalize("NFC", core).lower().isalpha() else (word, "")
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -171,20 +181,22 @@ def first_fit_decreasing(lengths, capacity: int):
 
 def pack(parts: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Piece rows with ``sequence_id`` and ``offset``; offsets of a sequence have no gaps."""
-    parts = keep(parts, "pieces")
+    columns, row = parts.columns, free_name("__row", parts)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    # numbered as written: the same rows make the same groups whenever a task is run again
+    parts = keep(parts.withColumn(row, F.monotonically_increasing_id()), "pieces")
     groups = run_groups(parts.count(), group_pieces)
-    columns = parts.columns
+    group = free_name("__group", parts)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         # the order must not hang on how the rows arrived
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "start", row], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), sequence)
-        return pdf.assign(sequence_id=pdf["__group"].to_numpy("int64") * 2**32 + bins,
+        return pdf.assign(sequence_id=pdf[group].to_numpy("int64") * 2**32 + bins,
                           offset=offsets)[[*columns, "sequence_id", "offset"]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    grouped = parts.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return grouped.groupBy("__group").applyInPandas(fit, f"{schema}, sequence_id long, offset long")
+    grouped = parts.withColumn(group, F.pmod(F.xxhash64(row), F.lit(groups)))
+    return grouped.groupBy(group).applyInPandas(fit, f"{fields}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, **options) -> DataFrame:

@@ -13,8 +13,10 @@ abuse; with no evidence they are neutral, but for a small prior against terms in
 *Score.* A logistic function of the strongest hit, of how many distinct hits there are and of their share.
 
 The model is fitted on at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean labelled rows, the first by a
-hash of the id; it holds at most ``MOST_TERMS`` terms and ``MOST_CONTEXT`` context words, so what is
-broadcast has a fixed bound. Every text is scored whole, where it was read.
+hash of the id. All traits of these rows with enough evidence are candidates; a term explains three toxic
+rows at least and a row takes three explanations, so there are no more terms than twice the toxic rows, and
+context words occur ten times around hits: what is broadcast is bounded by the sample. Every text is scored
+whole, where it was read.
 
 Defined cases: a null or empty text scores as one without hits; without a toxic and a clean row to learn
 from every score is 0; labels that are null are not learnt from; of several labels of a document the
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import keep, text_batches
 
 MOST_TOXIC, MOST_CLEAN = 4_000, 12_000
-MOST_TERMS, MOST_CONTEXT = 2_000, 2_000
 #: Lengths of word beginnings that may be terms, and the least length of a term.
 STEMS, SHORTEST = range(3, 9), 3
 #: A term is in so many toxic documents, and at this ratio of rates.
@@ -45,20 +46,74 @@ ONE_ERROR, TWO_ERRORS = 5, 10
 #: Words on either side of a hit that are its context.
 AROUND = 4
 THRESHOLD = 0.7
-#: Words a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of words a worker remembers (as many again from before), and the longest word remembered.
+REMEMBERED_BYTES, SHORT = 32 << 20, 64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\W_]+(?:['’@$!*.\-_]?[^\W_]+)*")
 QUOTES = "\"'“”„‘’«»‹›`"
 
 
+RUN = re.compile(r"[^\W_]+")
+
+
 def core_of(word: str) -> str:
     """A word in lower case without the marks around it."""
     m = LETTERS.search(word)
     return m[0].lower() if m else ""
 
 
+def cores_of(word: str) -> list[str]:
+    """The core of a word, and its runs of letters where marks join several: ``stop.it`` may be one word
+    in disguise or two."""
+    core = core_of(word)
+    runs = RUN.findall(core)
+    return [core, *runs] if len(runs) > 1 else [core]
+
+
+def words_of(text: str, split) -> list[str]:
+    """The words of a text. What stands between white space may hold several (``him,fool``): each goes on to
+    the end of its letters, the last one to the end. ``split`` takes one such stretch apart."""
+    out = []
+    for stretch in WORD.findall(text):
+        found = split(stretch)
+        if found is None:
+            out.append(stretch)
+        else:
+            out += found
+    return out
+
+
+def split_stretch(stretch: str) -> list[str] | None:
+    """The words of a stretch without white space; None where it is one."""
+    ends = [m.end() for m in LETTERS.finditer(stretch)]
+    if len(ends) < 2:
+        return None
+    ends[-1] = len(stretch)
+    return [stretch[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
+class Remembered:
+    """Results by word, those used since the last turnover and the ones before, bounded by their bytes."""
+
+    def __init__(self, work):
+        self.work, self.now, self.old, self.used = work, {}, {}, 0
+
+    def __call__(self, word):
+        found = self.now.get(word, 0)
+        if found != 0:
+            return found
+        found = self.old.get(word, 0)
+        if found == 0:
+            found = self.work(word)
+        if len(word) <= SHORT:
+            self.used += len(word) + 250
+            if self.used > REMEMBERED_BYTES:
+                self.now, self.old, self.used = {}, self.now, 0
+            self.now[word] = found
+        return found
+
+
 class Lexicon:
     """A trie of terms, walked by Levenshtein automata. A term that ends in ``*`` is a word beginning."""
 
@@ -130,22 +185,17 @@ class Model:
 
     def __init__(self, weights, known, context, logistic):
         self.lexicon, self.known, self.context, self.logistic = Lexicon(weights), known, context, logistic
-        self.found, self.old = {}, {}   # matches met since the last turnover, and before
-
-    def match(self, word):
-        hit = self.found.get(word, 0)
-        if hit != 0:
-            return hit
-        hit = self.old.get(word, 0)
-        if hit == 0:
-            core = core_of(word)
+        self.match, self.split = Remembered(self._match), Remembered(split_stretch)
+
+    def _match(self, word):
+        best = None
+        for core in cores_of(word):
             hit = self.lexicon.find(core) if len(core) >= SHORTEST else None
             if hit and core in self.known and (hit[1] or hit[0].endswith("*")):
                 hit = None
-        if len(self.found) >= REMEMBERED:
-            self.found, self.old = {}, self.found
-        self.found[word] = hit
-        return hit
+            if hit and (best is None or (hit[1], -self.lexicon.weights[hit[0]]) < (best[1], -self.lexicon.weights[best[0]])):
+                best = hit
+        return best
 
     def hits(self, words):
         """(place, term, errors) of all matches in a text's words."""
@@ -164,7 +214,7 @@ class Model:
     def score(self, text: str) -> float:
         if self.logistic is None:
             return 0.0
-        z = float(self.features(WORD.findall(text)) @ self.logistic)
+        z = float(self.features(words_of(text, self.split)) @ self.logistic)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -197,7 +247,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, learnt: Column) -> DataFrame:
 
 
 def _traits(words):
-    cores = {core_of(w) for w in words}
+    cores = {c for w in words for c in cores_of(w)}
     out = {c for c in cores if len(c) >= SHORTEST}
     return out | {c[:n] + "*" for c in out for n in STEMS if len(c) > n}
 
@@ -214,7 +264,7 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
             for k, (bad, raw) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
                 text = raw.decode("utf-8", "surrogatepass")
                 doc = hash_of(raw)
-                for trait in _traits(WORD.findall(text)):
+                for trait in _traits(words_of(text, split_stretch)):
                     counts[trait, bad] += 1
                     if bad:
                         held.setdefault(trait, []).append(doc)
@@ -230,7 +280,10 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("good"),
         F.flatten(F.collect_list("docs")).alias("docs")).where((F.col("bad") >= SUPPORT) & (rate >= F.least(enough, F.lit(clean))))
-    rows = found.orderBy(F.desc("bad"), "trait").head(5 * MOST_TERMS)
+    share, n = toxic / (toxic + clean), F.col("bad") + F.col("good")
+    speaks = F.col("bad") * F.ln(F.col("bad") / n / share) + F.when(
+        F.col("good") > 0, F.col("good") * F.ln(F.col("good") / n / (1 - share))).otherwise(0.0)
+    rows = found.where(speaks >= EVIDENCE - 1e-6).collect()      # traits of the bounded sample
     return choose_terms([(r["trait"], r["bad"], r["good"], r["docs"]) for r in rows], toxic, clean)
 
 
@@ -248,7 +301,7 @@ def choose_terms(candidates, toxic, clean):
         left.update(dict.fromkeys(docs, 3))
     terms = {}
     gains = {t: len(d) for t, d in holds.items()}
-    while gains and len(terms) < MOST_TERMS:
+    while gains:
         best = None
         # gains only fall, so a stale gain is an upper bound
         for term in sorted(gains, key=lambda t: (-gains[t], t.endswith("*"), -len(t), t)):
@@ -301,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column) -> Model:
         for batch, texts in text_batches(batches):
             out = []
             for bad, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
-                words = WORD.findall(raw.decode("utf-8", "surrogatepass"))
+                words = words_of(raw.decode("utf-8", "surrogatepass"), plain.split)
                 hits = [(t, e, core_of(words[i]), sorted(context_of(words, i))) for i, t, e in plain.hits(words)]
                 out.append(pickle.dumps((bad, len(words), hits)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["seen"])
@@ -317,11 +370,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column) -> Model:
     around = {side: Counter(c for bad, _, hits in seen if bad is side for h in hits for c in h[3]) for side in (True, False)}
     totals = {side: sum(len(hits) for bad, _, hits in seen if bad is side) for side in (True, False)}
     context = {}
-    if totals[False] >= 20:   # fewer clean hits say nothing about their surroundings
-        for word, n in (around[True] + around[False]).most_common(MOST_CONTEXT):
-            if n >= 10:
-                odds = math.log((around[True][word] + 1) / (totals[True] + 2) * (totals[False] + 2) / (around[False][word] + 1))
-                context[word] = max(-2.0, min(2.0, odds)) / 2
+    trust = totals[False] / (totals[False] + 20)   # few clean hits say little about their surroundings
+    for word, n in (around[True] + around[False]).items():
+        if n >= 10:
+            odds = math.log((around[True][word] + 1) / (totals[True] + 2) * (totals[False] + 2) / (around[False][word] + 1))
+            context[word] = trust * max(-2.0, min(2.0, odds)) / 2
     context["“”"] = context.get("“”", 0.0) - 0.5
     model = Model(weights, known, context, None)
     x, y = [], []
