@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import free_name
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -30,7 +32,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object xmp noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table
     caption tbody thead tfoot tr td th ul""".split())
@@ -49,6 +51,10 @@ MARKS = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs sidebar a
     signup ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion share sharing
     social related recommended recommendations comment comments commentlist disqus reply replies respond responses
     widget widgets pagination pager toolbar login search copyright skip legal disclaimer teaser outbrain taboola""".split())
+#: Those of readers: never the article, however much they hold.
+READERS = frozenset("""comment comments commentlist disqus reply replies respond responses related recommended
+    recommendations outbrain taboola cookie cookies consent gdpr""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_LETTERS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -57,7 +63,7 @@ class Page:
     """The tree of a page: parallel lists over nodes in page order, and its text events."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.marked = ["html"], [-1], [False]
+        self.tag, self.parent, self.marked = ["html"], [-1], [0]
         self.events = []   # (node, text), or (node, None) where a block starts or ends
         self._parse(source)
 
@@ -112,25 +118,39 @@ class Page:
             if name not in VOID and not attributes.endswith("/"):
                 stack.append(node)
 
-    def judge(self):
-        """Density, density sum and whether to keep, for each node."""
+    def judge(self, wrappers: int = 0):
+        """Density, density sum and whether to keep, for each node.
+
+        An element that is marked, or of a kind that is never the article, is kept if it is a wrapper: if it
+        holds an article's element and most of the text, or most of the text that is not linked and no
+        readers' part. With ``wrappers`` 1 also a readers' part that holds most may be one; with 2 marks and
+        forms are passed over altogether."""
         tags, parent, count = self.tag, self.parent, len(self.tag)
         own = [0] * count
         for node, text in self.events:
             if text:
                 own[node] += len(" ".join(text.split()))
         # a marked element that holds the article itself is a wrapper: keep it
-        weight, heart = own[:], [False] * count
+        weight, heart, titled = own[:], [False] * count, [False] * count
+        linked = [False] * count
+        for k in range(1, count):
+            linked[k] = linked[parent[k]] or tags[k] == "a"
+        prose = [0 if a else c for c, a in zip(own, linked, strict=True)]
         for k in range(count - 1, 0, -1):
             weight[parent[k]] += weight[k]
+            prose[parent[k]] += prose[k]
             heart[parent[k]] |= heart[k] or tags[k] in ("article", "main", "h1") and not self.marked[k]
+            titled[parent[k]] |= titled[k] or tags[k] in HEADINGS
         kept = [True] * count
         for k in range(1, count):
             inside = kept[parent[k]]
             if inside and tags[k] == "header":
-                inside = self._within(k, ("article", "main")) and heart[k]
+                inside = self._within(k, ("article", "main")) and titled[k] and not self.marked[k]
             elif inside and (self.marked[k] or tags[k] in NEVER):
-                inside = heart[k] and 2 * weight[k] > weight[0]
+                open_ = tags[k] in ("form", "fieldset") or tags[k] not in NEVER
+                inside = (heart[k] and 2 * weight[k] > weight[0]
+                          or open_ and 2 * prose[k] > prose[0] and (wrappers or self.marked[k] != 2)
+                          or open_ and wrappers == 2)
             kept[k] = inside
         chars = [c if k else 0 for c, k in zip(own, kept, strict=True)]
         links, inner, link_tags = [0] * count, [0] * count, [0] * count
@@ -178,7 +198,11 @@ class Page:
             heapq.heappush(heap, -self.parent[-last])
 
     def text(self) -> str:
-        kept, density, total, chars, links = self.judge()
+        """The article: by the first of three judgements, each less strict, that leaves any text."""
+        return next((t for t in map(self._text, range(3)) if t), "")
+
+    def _text(self, wrappers: int) -> str:
+        kept, density, total, chars, links = self.judge(wrappers)
         tags, parent, count = self.tag, self.parent, len(self.tag)
         if not chars[0]:
             return ""
@@ -247,22 +271,24 @@ class Page:
         return "\n".join(t for t in texts if t)
 
 
-def _marked(name, attributes) -> bool:
+def _marked(name, attributes) -> int:
+    """0 for an element without a mark, 2 for one that is hidden or a part of readers, 1 for other marks."""
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value.lower() in ROLES or key == "style" and HIDDEN.search(value):
-            return True
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
+            return 2
+        if key == "role" and value.lower() in ROLES:
+            found = max(found, 1)
         if key in ("class", "id"):
             for word in value.split():
                 parts = NOT_LETTERS.split(word) if word.islower() else NOT_LETTERS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower())
                 # "no-comments" or "has-sidebar" tell about the page, not about this element
                 if parts[0] not in ("no", "has", "with", "without", "is", "hide", "show") and not MARKS.isdisjoint(parts):
-                    return True
-    return False
+                    found = max(found, 1 if READERS.isdisjoint(parts) else 2)
+    return found
 
 
 def main_text(source: str | None) -> str:
@@ -270,9 +296,11 @@ def main_text(source: str | None) -> str:
     return Page(source).text() if source else ""
 
 
-def extract(pages: DataFrame, source: str = "html") -> DataFrame:
-    """``pages`` with a struct ``extracted``: the main text and its number of code points."""
-    schema = T.StructType([*pages.schema.fields, T.StructField("extracted", T.StructType([
+def extract(pages: DataFrame, source: str = "html", out: str = "extracted") -> DataFrame:
+    """``pages`` with a struct ``out`` (with underscores behind it where a column has that name): the main
+    text and its number of code points."""
+    out = free_name(out, pages)
+    schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StructType([
         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))])
     kind = pa.struct([("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -280,6 +308,6 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(batch.schema.get_field_index(source)).to_pylist()]
             found = pa.array([{"text": t, "n_chars": len(t)} for t in texts], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "extracted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
     return pages.mapInArrow(run, schema)
