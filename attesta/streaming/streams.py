@@ -1,89 +1,178 @@
 """Streaming forms of the stateful operators.
 
-Each keyed operator keeps one small state row per key. The rows of a key inside one micro-batch are
-put in time order before they meet the state, so a micro-batch (maxFilesPerTrigger and the like)
-bounds what one call sees. Late rows: S2, S3, S4 and S6 take a watermark, one day by default.
+S1, S2, S4 and S5 fold the rows of a key in the order of their time. A row waits in the key's state, in a map by
+time, until the watermark has passed it; a timer then takes it out. So rows that arrive out of order, in one
+micro-batch or over several, give the same answers, an answer once given never changes, and a task holds the
+rows of one key and one millisecond at a time, never all rows of a key. Rows later than the watermark are dropped, as are rows
+without a time. State that can no longer matter is cleared, by a completion or by a timer.
+
+The state lies in RocksDB, beside the task, with its log in the query's checkpoint.
 """
 
 from collections.abc import Sequence
 from threading import Event
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from attesta import rules
 
 WATERMARK = "1 day"
 _DAY_MS = 86_400_000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _strings(*names: str) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names])
+
+
+class InOrder(StatefulProcessor):
+    """Folds a key's rows by time, and those of one millisecond by their ``waits`` columns in turn (nulls
+    first). A subclass names the columns that wait, opens its own state in ``open`` and yields results from
+    ``fold`` (the rows of one time) and ``due`` (what time alone brings about, up to a time). It asks to be
+    called at a later time by ``wake``; times that the watermark has passed are made up for at once."""
+
+    waits: tuple[str, ...] = ()
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState(
+            "waiting", StructType([StructField("at", LongType())]),
+            StructType([StructField("rows", ArrayType(_strings(*self.waits)))]))
+        self.open()
 
-def _in_order(chunks, *by):
-    rows = pd.concat(list(chunks), ignore_index=True)
-    return rows.sort_values(list(by), kind="stable").itertuples(index=False)
+    def open(self) -> None:
+        pass
+
+    def fold(self, key, at: int, rows):
+        yield from ()
+
+    def due(self, key, upto: int):
+        yield from ()
+
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in rows:
+            if r["__ms"] is None:
+                continue
+            at, row = (r["__ms"],), tuple(r[c] for c in self.waits)
+            held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
+            self.waiting.updateValue(at, ([*map(tuple, held), row],))
+            if not held:
+                self.handle.registerTimer(r["__ms"])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.waiting.containsKey((at,)):
+            rows = [tuple(r) for r in self.waiting.getValue((at,))[0]]
+            self.waiting.removeKey((at,))
+            rows.sort(key=lambda r: [(v is not None, v or "") for v in r])
+            yield from self.due(key, at - 1)
+            yield from self.fold(key, at, rows)
+        yield from self.due(key, at)
+        passed = timerValues.getCurrentWatermarkInMs()
+        if not any(k[0] <= passed for k in self.waiting.keys()):
+            yield from self.due(key, passed)
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(rows: DataFrame, at: str, watermark: str | None, keys: Sequence[str], processor: InOrder,
+            result: str) -> DataFrame:
+    """Rows folded per key; ``processor`` sees ``__ms``, the time in milliseconds, and what waits as text."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    marked = rows.withWatermark(at, watermark) if watermark else rows      # or it was marked before
+    held = marked.select(
+        *keys, at, F.unix_millis(at).alias("__ms"), *[F.col(c).cast("string").alias(c) for c in processor.waits])
+    return held.groupBy(*keys).transformWithState(
+        processor, StructType.fromDDL(result), "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- S1
-def stream_active_jobs(requests: DataFrame, completions: DataFrame) -> DataFrame:
+class ActiveJob(InOrder):
+    """The active job of an account, from a request to its completion."""
+
+    waits = ("done", "request", "job")
+
+    def open(self):
+        self.active = self.handle.getValueState("active", _strings("job"))
+
+    def fold(self, key, at, rows):
+        # completions first: rows without a request sort behind the null of ``done``, so by hand
+        active = self.active.get()[0] if self.active.exists() else None
+        before = active
+        for done, request, job in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] or "")):
+            if done is not None:
+                active = None if active == done else active
+                continue
+            created = active is None
+            active = job if created else active
+            yield Row(account_id=key[0], request_id=request, job_id=active, created=created)
+        if active is None and before is not None:
+            self.active.clear()
+        elif active != before:
+            self.active.update((active,))
+
+
+def stream_active_jobs(requests: DataFrame, completions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """S1. The job of each request while jobs come and go: an account has one active job, a request
-    during it joins it, a completion ends it. ``requests``: account_id, request_id, ts;
-    ``completions``: account_id, job_id, ts. A new job's id comes from its first request."""
+    during it joins it, a completion ends it (at the same time: before the request). ``requests``: account_id,
+    request_id, ts; ``completions``: account_id, job_id, ts. A new job's id comes from its first request.
+    An account without an active job has no state."""
     none = F.lit(None).cast("string")
     rows = requests.select("account_id", "ts", F.col("request_id").cast("string").alias("request"),
                            none.alias("done")).unionByName(completions.select(
         "account_id", "ts", none.alias("request"), F.col("job_id").alias("done")))
     rows = rows.withColumn("job", F.sha2(F.concat_ws("|", "account_id", "request"), 256))
+    return _folded(rows, "ts", watermark, ["account_id"], ActiveJob(),
+                   "account_id string, request_id string, job_id string, created boolean")
 
-    def step(key, chunks, state):
-        active = state.get[0] if state.exists else None
-        out = []
-        for r in _in_order(chunks, "ts", "request"):
-            if r.request is None:
-                active = None if active == r.done else active
-                continue
-            created = active is None
-            active = r.job if created else active
-            out.append((key[0], r.request, active, created))
-        state.update((active,))
-        yield pd.DataFrame(out, columns=["account_id", "request_id", "job_id", "created"])
 
-    return rows.groupBy("account_id").applyInPandasWithState(
-        step, "account_id string, request_id string, job_id string, created boolean",
-        "active string", "append", "NoTimeout")
+# ---------------------------------------------------------------- S2
+class Suppressed(InOrder):
+    """The run that last raised a task, for as long as it suppresses others."""
+
+    waits = ("job_id",)
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def open(self):
+        self.raised = self.handle.getValueState(
+            "raised", StructType([StructField("at", LongType()), StructField("job", StringType())]))
+
+    def fold(self, key, at, rows):
+        raised, job = self.raised.get() if self.raised.exists() else (None, None)
+        for (run,) in rows:
+            repeat = raised is not None and job != run and at - raised <= self.window
+            if not repeat:
+                raised, job = at, run
+                self.raised.update((at, run))
+                self.wake(at + self.window + 1)      # no run after that is a repeat of this one
+            yield Row(account_id=key[0], job_id=run, signature=key[1], at=at, repeat=repeat)
+
+    def due(self, key, upto):
+        if self.raised.exists() and self.raised.get()[0] + self.window < upto:
+            self.raised.clear()
+        yield from ()
 
 
-# ---------------------------------------------------------------- S2
 def stream_suppress_alerts(alerts: DataFrame, days: int = 7,
                            watermark: str = WATERMARK) -> DataFrame:
     """S2. ``repeat`` for every alert run: the same signature of the account was raised by another
     job within ``days``. Only runs that raised a task count, so suppressed runs do not extend the
-    window. ``alerts``: account_id, job_id, signature, created_at. State leaves once it cannot
-    matter any more."""
-    window = days * _DAY_MS
-
-    def step(key, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, job = state.get if state.exists else (None, None)
-        out = []
-        for r in _in_order(chunks, "created_at", "job_id"):
-            now = int(r.created_at.value // 1_000_000)
-            repeat = at is not None and job != r.job_id and now - at <= window
-            if not repeat:
-                at, job = now, r.job_id
-            out.append((key[0], r.job_id, key[1], r.created_at, repeat))
-        state.update((at, job))
-        state.setTimeoutTimestamp(max(at + window, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["account_id", "job_id", "signature", "created_at",
-                                         "repeat"])
-
-    keyed = alerts.select("account_id", "job_id", "signature", "created_at").withWatermark(
-        "created_at", watermark)
-    return keyed.groupBy("account_id", "signature").applyInPandasWithState(
-        step, "account_id string, job_id string, signature string, created_at timestamp, "
-              "repeat boolean", "at long, job string", "append", "EventTimeTimeout")
+    window. ``alerts``: account_id, job_id, signature, created_at."""
+    out = _folded(alerts, "created_at", watermark, ["account_id", "signature"], Suppressed(days * _DAY_MS),
+                  "account_id string, job_id string, signature string, at long, repeat boolean")
+    return out.select("account_id", "job_id", "signature", F.timestamp_millis("at").alias("created_at"), "repeat")
 
 
 # ---------------------------------------------------------------- S3
@@ -122,96 +211,148 @@ def write_once(events: DataFrame, ledger: str, checkpoint: str, at: str = "creat
 
 
 # ---------------------------------------------------------------- S4
+class Expiry(InOrder):
+    """The newest expiry date of a document and how many of its reminders were sent."""
+
+    waits = ("valid_until",)
+
+    def __init__(self, levels, keep_days: int):
+        self.levels, self.keep = levels, keep_days * _DAY_MS
+
+    def open(self):
+        self.sent = self.handle.getValueState("sent", StructType([
+            StructField("until", StringType()), StructField("end", LongType()), StructField("n", LongType())]))
+
+    def plan(self, end):
+        """When each reminder is due; the last one a day after the end."""
+        return [*(end - level * _DAY_MS for level in self.levels), end + _DAY_MS]
+
+    def reminder(self, key, until, k):
+        level = self.levels[k] if k < len(self.levels) else None
+        return Row(account_id=key[0], document_type=key[1], valid_until=until,
+                   level="expired" if level is None else "today" if level == 0 else f"{level} days")
+
+    def fold(self, key, at, rows):
+        for (until,) in rows:
+            end = _midnight(until)
+            if end is not None and (not self.sent.exists() or self.sent.get()[0] != until):
+                reached = sum(1 for due in self.plan(end) if due <= at)
+                if reached:
+                    yield self.reminder(key, until, reached - 1)
+                self.sent.update((until, end, reached))
+
+    def due(self, key, upto):
+        if not self.sent.exists():
+            return
+        until, end, n = self.sent.get()
+        plan, before = self.plan(end), n
+        while n < len(plan) and plan[n] <= upto:
+            yield self.reminder(key, until, n)
+            n += 1
+        later = plan[n] if n < len(plan) else plan[-1] + self.keep
+        if later <= upto:
+            self.sent.clear()
+            return
+        if n != before:
+            self.sent.update((until, end, n))
+        self.wake(later)
+
+
+def _midnight(until: str | None) -> int | None:
+    """The start of a day in ISO text, in milliseconds; None for other texts."""
+    from datetime import UTC, datetime
+    try:
+        return int(datetime.fromisoformat(until).replace(tzinfo=UTC).timestamp()) * 1000 if until else None
+    except ValueError:
+        return None
+
+
 def stream_expiry(requirements: DataFrame, clock: DataFrame,
                   levels: Sequence[int] = tuple(rules.EXPIRY_LEVELS),
-                  watermark: str = "0 seconds") -> DataFrame:
+                  watermark: str = "0 seconds", keep_days: int = 30) -> DataFrame:
     """S4. Expiry reminders from a clock: per account and document type a timer for each level of
     the newest expiry date, sent once. ``requirements``: account_id, document_type, valid_until
     (ISO text), at; ``clock``: at, whose ticks move the watermark on. A document first seen after
-    a level is reminded at the level it has reached; a renewed one starts anew."""
-    steps = sorted(levels, reverse=True)
+    a level is reminded at the level it has reached; a renewed one starts anew. What was sent is
+    forgotten ``keep_days`` after the last level."""
     none = F.lit(None).cast("string")
     rows = requirements.select("account_id", "document_type", "valid_until", "at").unionByName(
-        clock.select(F.lit("").alias("account_id"), F.lit("").alias("document_type"),
+        clock.select(none.alias("account_id"), none.alias("document_type"),
                      none.alias("valid_until"), "at")).withWatermark("at", watermark)
     # ticks have moved the watermark on and end here; a condition on the event time stays above it
-    rows = rows.where(F.coalesce(F.when(F.col("at").isNotNull(), F.col("account_id") != ""), F.lit(False)))
-
-    def name(level):
-        return "today" if level == 0 else f"{level} days"
-
-    def due_list(until):
-        end = pd.Timestamp(until).value // 1_000_000
-        plan = [(end - level * _DAY_MS, name(level)) for level in steps]
-        return [*plan, (end + _DAY_MS, "expired")]
-
-    def step(key, chunks, state):
-        until, sent = state.get if state.exists else (None, 0)
-        if not state.hasTimedOut:
-            for r in _in_order(chunks, "at"):
-                if r.valid_until and r.valid_until != until:
-                    until, sent = r.valid_until, 0
-            now = int(r.at.value // 1_000_000)
-        else:
-            now = state.getCurrentWatermarkMs()
-        now = max(now, state.getCurrentWatermarkMs())
-        if until is None:
-            return
-        plan = due_list(until)
-        reached = sum(1 for at, _ in plan if at <= now)
-        if reached > sent:
-            yield pd.DataFrame([(*key, until, plan[reached - 1][1])], columns=[
-                "account_id", "document_type", "valid_until", "level"])
-            sent = reached
-        state.update((until, sent))
-        if sent < len(plan):
-            state.setTimeoutTimestamp(max(plan[sent][0], state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy("account_id", "document_type").applyInPandasWithState(
-        step, "account_id string, document_type string, valid_until string, level string",
-        "until string, sent int", "append", "EventTimeTimeout")
+    rows = rows.where(F.coalesce(F.when(F.col("at").isNotNull(), F.col("account_id").isNotNull()), F.lit(False)))
+    return _folded(rows, "at", None, ["account_id", "document_type"],
+                   Expiry(sorted(levels, reverse=True), keep_days),
+                   "account_id string, document_type string, valid_until string, level string")
 
 
 # ---------------------------------------------------------------- S5
-def stream_fold_decisions(events: DataFrame) -> DataFrame:
+class Review(InOrder):
+    """Status and first reviewer of a review, until some days after it was closed."""
+
+    waits = ("kind", "row_id", "decision", "value", "reviewer", "status")
+
+    def __init__(self, keep_days: int):
+        self.keep = keep_days * _DAY_MS
+
+    def open(self):
+        self.state = self.handle.getValueState("state", StructType([
+            *_strings("status", "reviewer").fields, StructField("until", LongType())]))
+
+    def fold(self, key, at, rows):
+        open_states = tuple(rules.REVIEW_OPEN)
+        status, reviewer, until = self.state.get() if self.state.exists() else (None, None, None)
+        if until is not None and until <= at:      # forgotten by now
+            status, reviewer, until = None, None, None
+            self.state.clear()
+        # an opening comes before, a closing after the decisions of the same time
+        turn = {"opened": 0, "closed": 2}
+        for kind, row_id, decision, value, by, said in sorted(rows, key=lambda r: turn.get(r[0], 1)):
+            if kind == "opened":
+                status = status or said or "Pending Review"
+            elif kind == "closed":
+                status = said if status in open_states else status
+            else:
+                value = (value or "").strip()
+                problem = self.problem(status, decision, value)
+                if problem is None:
+                    status, reviewer = "In Review", reviewer or by or None
+                yield Row(review_id=key[0], row_id=row_id, decision=decision,
+                          edited_value=value if problem is None and decision == "Edit" else None,
+                          reviewer=reviewer, status=status, problem=problem)
+        if status is not None:
+            if status not in open_states and until is None:
+                until = at + self.keep
+                self.wake(until)
+            self.state.update((status, reviewer, until))
+
+    def due(self, key, upto):
+        if self.state.exists():
+            until = self.state.get()[2]
+            if until is not None and until <= upto:
+                self.state.clear()
+        yield from ()
+
+    @staticmethod
+    def problem(status, decision, value) -> str | None:
+        if status is None:
+            return "Review not found"
+        if status not in rules.REVIEW_OPEN:
+            return f"Review is {status}; it can no longer change"
+        if decision not in rules.DECISIONS:
+            return "Decision must be one of " + ", ".join(rules.DECISIONS)
+        return "Edit needs the corrected value" if decision == "Edit" and not value else None
+
+
+def stream_fold_decisions(events: DataFrame, watermark: str = WATERMARK, keep_days: int = 3650) -> DataFrame:
     """S5. The review state machine: (opened | decision | closed) events of a review in time order.
     Emits one row per decision with its problem (null when accepted), the review's status after
     it and its first reviewer. ``events``: review_id, kind, row_id, decision, value, reviewer,
-    status, ts. Row ids are checked by the batch form, which knows the rows."""
-    open_states, allowed = tuple(rules.REVIEW_OPEN), tuple(rules.DECISIONS)
-
-    def step(key, chunks, state):
-        status, reviewer = state.get if state.exists else (None, None)
-        out = []
-        for r in _in_order(chunks, "ts"):
-            if r.kind == "opened":
-                status = status or r.status or "Pending Review"
-            elif r.kind == "closed":
-                status = r.status if status in open_states else status
-            else:
-                value = (r.value or "").strip()
-                if status is None:
-                    problem = "Review not found"
-                elif status not in open_states:
-                    problem = f"Review is {status}; it can no longer change"
-                elif r.decision not in allowed:
-                    problem = "Decision must be one of " + ", ".join(allowed)
-                elif r.decision == "Edit" and not value:
-                    problem = "Edit needs the corrected value"
-                else:
-                    problem = None
-                    status = "In Review"
-                    reviewer = reviewer or r.reviewer or None
-                edited = value if problem is None and r.decision == "Edit" else None
-                out.append((key[0], r.row_id, r.decision, edited, reviewer, status, problem))
-        state.update((status, reviewer))
-        yield pd.DataFrame(out, columns=["review_id", "row_id", "decision", "edited_value",
-                                         "reviewer", "status", "problem"])
-
-    return events.groupBy("review_id").applyInPandasWithState(
-        step, "review_id string, row_id string, decision string, edited_value string, "
-              "reviewer string, status string, problem string",
-        "status string, reviewer string", "append", "NoTimeout")
+    status, ts. A review is forgotten ``keep_days`` after it was closed. Row ids are checked by the batch
+    form, which knows the rows."""
+    return _folded(events, "ts", watermark, ["review_id"], Review(keep_days),
+                   "review_id string, row_id string, decision string, edited_value string, "
+                   "reviewer string, status string, problem string")
 
 
 # ---------------------------------------------------------------- S6

@@ -31,40 +31,49 @@ def _account(df):
 
 
 def active_jobs(spark, sf_dir):
-    events = _account(source(spark, sf_dir))
-    requests = events.where(F.col("event_type").isin("signup", "purchase")).select(
-        "account_id", F.format_string("%020d", "event_id").alias("request_id"), "ts")
-    none = events.where("event_type = 'no such type'").select(
-        "account_id", F.lit("").alias("job_id"), "ts")
-    return drained(spark, st.stream_active_jobs(requests, none)).select(
+    """Signups and purchases ask for a job; a job ends two days after the request that made it."""
+    events = _account(source(spark, sf_dir)).where(F.col("event_type").isin("signup", "purchase"))
+    requests = events.select("account_id", F.format_string("%020d", "event_id").alias("request_id"), "ts")
+    done = requests.select("account_id", F.sha2(F.concat_ws("|", "account_id", "request_id"), 256).alias("job_id"),
+                           (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    return drained(spark, st.stream_active_jobs(requests, done, "0 seconds")).select(
         F.col("request_id").cast("long").alias("request_id"), "job_id", "created")
 
 
 QUERIES["stream_active_jobs"] = active_jobs
+# jobs by recursion: the first request of a user, then the first one two days or more after a job's first
 ORACLES["stream_active_jobs"] = """
-    WITH f AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f
-               FROM events WHERE event_type IN ('signup', 'purchase'))
-    SELECT event_id AS request_id, sha256(user_id || '|' || lpad(cast(f AS string), 20, '0')) AS job_id,
-        event_id = f AS created FROM f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events
+        WHERE event_type IN ('signup', 'purchase')),
+    j AS (SELECT user_id, min(ms) AS ms FROM e GROUP BY user_id
+        UNION ALL SELECT j.user_id, (SELECT min(e.ms) FROM e WHERE e.user_id = j.user_id AND
+            e.ms >= j.ms + 172800000) FROM j WHERE j.ms IS NOT NULL),
+    f AS (SELECT e.user_id, e.ms, min(event_id) AS f FROM e JOIN j USING (user_id, ms) GROUP BY ALL),
+    g AS (SELECT e.*, max(f.ms) AS job_ms FROM e JOIN f ON f.user_id = e.user_id AND f.ms <= e.ms GROUP BY ALL)
+    SELECT event_id AS request_id, sha256(g.user_id || '|' || lpad(cast(f AS string), 20, '0')) AS job_id,
+        event_id = f AS created FROM g JOIN f ON f.user_id = g.user_id AND f.ms = g.job_ms"""
 
 
 def suppress(spark, sf_dir):
-    events = _account(source(spark, sf_dir)).where("event_type = 'error'")
+    """Every event is an alert run of its user; its type is the signature."""
+    events = _account(source(spark, sf_dir))
     alerts = events.select("account_id", F.format_string("%020d", "event_id").alias("job_id"),
-                           F.lit("s").alias("signature"), F.col("ts").alias("created_at"))
-    return drained(spark, st.stream_suppress_alerts(alerts, 7)).select(
-        F.col("job_id").cast("long").alias("job_id"), "repeat")
+                           F.col("event_type").alias("signature"), F.col("ts").alias("created_at"))
+    return drained(spark, st.stream_suppress_alerts(alerts, 7, "0 seconds")).select(
+        F.col("job_id").cast("long").alias("job_id"), "signature", "repeat")
 
 
 QUERIES["stream_suppress"] = suppress
-# raised runs by recursion: the first run of a user, then the first one more than 7 days later
+# raised runs by recursion: the first run of a user's signature, then the first one more than 7 days later
 ORACLES["stream_suppress"] = """
-    WITH RECURSIVE e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'),
-    raised AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
-        UNION ALL SELECT r.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = r.user_id AND
-            epoch_ms(e.ts) - epoch_ms(r.ts) > 604800000) FROM raised r WHERE r.ts IS NOT NULL)
-    SELECT e.event_id AS job_id, r.ts IS NULL AS "repeat" FROM e LEFT JOIN (SELECT * FROM raised WHERE
-        ts IS NOT NULL) r ON r.user_id = e.user_id AND r.ts = e.ts"""
+    WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_ms(ts) AS ms FROM events),
+    raised AS (SELECT user_id, event_type, min(ms) AS ms FROM e GROUP BY ALL
+        UNION ALL SELECT user_id, event_type, (SELECT min(e.ms) FROM e WHERE e.user_id = r.user_id AND
+            e.event_type = r.event_type AND e.ms - r.ms > 604800000) FROM raised r WHERE r.ms IS NOT NULL),
+    f AS (SELECT user_id, event_type, ms, min(event_id) AS event_id FROM e JOIN raised USING (user_id, event_type, ms)
+        GROUP BY ALL)
+    SELECT e.event_id AS job_id, event_type AS signature, f.event_id IS NULL AS "repeat"
+    FROM e LEFT JOIN f USING (user_id, event_type, ms, event_id)"""
 
 
 def once(spark, sf_dir):
@@ -104,7 +113,7 @@ def fold(spark, sf_dir):
             F.col("event_type") == "view", "Edit").otherwise("Maybe").alias("decision"),
         F.get_json_object("props", "$.k").alias("value"), F.lit("Lia").alias("reviewer"),
         F.when(F.col("event_type") == "error", "Rejected").alias("status"), "ts")
-    return drained(spark, st.stream_fold_decisions(rows)).select("row_id", "status", "problem")
+    return drained(spark, st.stream_fold_decisions(rows, "0 seconds")).select("row_id", "status", "problem")
 
 
 QUERIES["stream_fold"] = fold
@@ -134,3 +143,17 @@ def expiry(spark, sf_dir):
 
 
 QUERIES["stream_expiry"] = expiry
+# a run of equal dates is one document; it is reminded of the level it has reached, then of each as it comes
+ORACLES["stream_expiry"] = """
+    WITH d AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, cast(ts AS date) + cast(event_id % 40 AS int) AS until
+        FROM events WHERE event_type = 'purchase'),
+    o AS (SELECT *, lag(until) OVER w AS before FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ms, cast(until AS string))),
+    s AS (SELECT user_id, until, ms, epoch_ms(until::timestamp) AS e,
+        coalesce(lead(ms) OVER (PARTITION BY user_id ORDER BY ms, cast(until AS string)), 9e18) AS next
+        FROM o WHERE before IS DISTINCT FROM until),
+    l AS (SELECT * FROM (VALUES (1, '30 days', 30), (2, '7 days', 7), (3, 'today', 0), (4, 'expired', -1)) v(k, level, days)),
+    a AS (SELECT s.*, k, level, e - days * 86400000::BIGINT AS due FROM s, l),
+    r AS (SELECT user_id, until, ms, next, k, level, due,
+        max(CASE WHEN due <= ms THEN k END) OVER (PARTITION BY user_id, until, ms) AS reached FROM a)
+    SELECT cast(user_id AS string) AS account_id, 'PERMIT' AS document_type, cast(until AS string) AS valid_until, level
+    FROM r WHERE next > ms AND (k = reached OR due > ms AND due < next AND due <= (SELECT epoch_ms(max(ts)) FROM events))"""
