@@ -77,7 +77,7 @@ def _gathered(parts: DataFrame, merge) -> list[bytes]:
         left = math.ceil(left / FAN_IN)
         parts = keep(parts.select(F.pmod("part", F.lit(left)).alias("part"), "matrix").groupBy("part")
                      .applyInArrow(merged, "part long, matrix binary"), "matrices")
-    return [r["matrix"] for r in parts.collect()]
+    return [r["matrix"] for r in parts.head(FAN_IN)]
 
 
 def _by_task(rows: DataFrame, reduce) -> DataFrame:
@@ -124,7 +124,7 @@ def usable(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     return rows.where(length == d), n, d
 
 
-def sums_of(rows: DataFrame) -> list[int]:
+def sums_of(rows: DataFrame, dimension: int) -> list[int]:
     """Exact sums of the integers per dimension."""
     def summed(batches):
         for batch in batches:
@@ -135,7 +135,7 @@ def sums_of(rows: DataFrame) -> list[int]:
                 yield pa.RecordBatch.from_pydict({"at": list(range(len(totals))), "total": [str(t) for t in totals]})
 
     found = (rows.select("vector").mapInArrow(summed, "at long, total string")
-             .groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect())
+             .groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).head(dimension))
     return [int(r["total"]) for r in sorted(found, key=lambda r: r["at"])]
 
 
@@ -152,7 +152,7 @@ def fit(rows: DataFrame, n: int, dimension: int, most: int = MOST) -> Whitening
     """Learn the whitening of ``rows`` (of ``usable``); None where no direction has variance."""
     if not n or not dimension:
         return None
-    sums = sums_of(rows)
+    sums = sums_of(rows, dimension)
 
     def triangle(blocks):
         r = None

@@ -164,10 +164,10 @@ class Plan:
 def _plans(nodes: DataFrame, leaf: int) -> dict[int, Plan]:
     """One plan for each dimension, from the nodes with the smallest keys (keys are hashes)."""
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "dim").limit(64).collect()}
+             .orderBy(F.desc("n"), "dim").head(64)}
     plans = {}
     for dim, rows in sizes.items():      # dimensions beyond the 64 most frequent go without a plan
-        sample = nodes.where(F.col("dim") == dim).select("key", "unit").orderBy("key").limit(SAMPLE).collect()
+        sample = nodes.where(F.col("dim") == dim).select("key", "unit").orderBy("key").head(SAMPLE)
         plans[dim] = Plan(np.frombuffer(b"".join(r["unit"] for r in sample)).reshape(len(sample), dim), rows, leaf)
     return plans
 
@@ -331,7 +331,7 @@ def _core_links(placed: DataFrame, plans, block: int) -> DataFrame:
     angle = float(np.arccos(COSINE))
     cores = placed.where("core is not null").groupBy("core").agg(
         F.max("angle").alias("radius"), F.min("key").alias("least"), F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    known = {r["core"]: r for r in cores.collect()}       # as many as centres
+    known = {r["core"]: r for r in cores.head(sum(len(p.centres) for p in plans.values()))}
 
     def compare(batches):
         for batch in batches:

@@ -283,7 +283,8 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     share, n = toxic / (toxic + clean), F.col("bad") + F.col("good")
     speaks = F.col("bad") * F.ln(F.col("bad") / n / share) + F.when(
         F.col("good") > 0, F.col("good") * F.ln(F.col("good") / n / (1 - share))).otherwise(0.0)
-    rows = found.where(speaks >= EVIDENCE - 1e-6).collect()      # traits of the bounded sample
+    telling = keep(found.where(speaks >= EVIDENCE - 1e-6), "traits")
+    rows = telling.head(max(1, telling.count()))      # traits of the bounded sample
     return choose_terms([(r["trait"], r["bad"], r["good"], r["docs"]) for r in rows], toxic, clean)
 
 
