@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from attesta import rules
 from attesta.functions import matching as m
 from attesta.functions import text as t
+from attesta.operators.resemble import worst_within
+from attesta.session import keep
 from attesta.skew import attach
 
 PLACE = ["rank", "doc_pos", "seq"]
@@ -138,11 +140,11 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES) -
 
     The pairs are never laid out. Equal forms are merged first. For attributes compared by
     equality two forms from different documents are a conflict. For the others each form is compared with the group's
-    longest one; most groups are settled by that, since one DIFFERENT is the worst verdict. Only
-    groups whose forms all resemble that one are compared form by form: there the forms are parts
-    or near copies of one string, which bounds how many there can be.
+    longest one; most groups are settled by that, since one DIFFERENT is the worst verdict. Groups whose
+    forms all resemble that one are looked into by ``resemble.worst_within``, without a key that holds all
+    pairs of a group.
     """
-    forms = distinct_forms(facts, {a: spec[1] for a, spec in attributes.items()})
+    forms = keep(distinct_forms(facts, {a: spec[1] for a, spec in attributes.items()}), "forms")
     forms = forms.withColumn("__own", F.when(   # equal forms of different documents
         (F.col("matcher") == "address") & (F.col("form") == "") & (F.col("lo") != F.col("hi")),
         2).otherwise(0))
@@ -171,14 +173,10 @@ def cross_check(facts: DataFrame, attributes: dict = rules.CHECKED_ATTRIBUTES) -
                                      F.count("*").alias("__others"), F.first("b").alias("__top"))
 
     open_ = worst.where((F.coalesce("worst", F.lit(0)) < 2) & (F.col("__others") >= 2))
-    left = fuzzy.join(open_.select(*GROUP, "__top"), GROUP).where(F.col("form") != F.col("__top"))
-
-    def side(prefix):
-        return left.select(*GROUP, *(["matcher"] if prefix == "a" else []),
-                           F.col("form").alias(prefix), *[
-            F.col(c).alias(f"{prefix}_{c}") for c in ("lo", "hi", "at")])
-    rest = side("a").join(side("b"), GROUP).where(F.col("a_at") < F.col("b_at"))
-    rest = _pair_rank(rest).groupBy(*GROUP).agg(F.max("worst").alias("rest"))
+    left = fuzzy.join(open_.select(*GROUP, "__top", (F.coalesce("worst", F.lit(0)) == 1).alias("likely")), GROUP) \
+        .where(F.col("form") != F.col("__top"))
+
+    rest = worst_within(left, GROUP, _pair_rank)
 
     out = groups.join(worst.select(*GROUP, "worst"), GROUP, "left").join(rest, GROUP, "left")
     # two forms are a conflict unless one document alone holds all of them
