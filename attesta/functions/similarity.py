@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -63,7 +64,13 @@ def _least_edits(needle: str, text: str) -> np.ndarray:
 
 def closest_window(needle: str, text: str, floor: float) -> tuple[float, str] | None:
     """Window of the whole text, as long as the needle give or take one, that is most similar to
-    it; null below ``floor``. Of equally good windows the shorter, then the first one wins.
+    it; null below ``floor``. Of equally good windows the shorter, then the first one wins."""
+    found = _closest(needle, text, floor) if len(text) >= len(needle) else None
+    return None if found is None else (found[0], found[3])
+
+
+def _closest(needle: str, text: str, floor: float) -> tuple[float, int, int, str] | None:
+    """Ratio, size, place and text of the closest window.
 
     Two upper bounds of the ratio leave few windows to compare: the letters a window shares with
     the needle, and the edits needed to turn the needle into anything that ends where it ends
@@ -71,7 +78,7 @@ def closest_window(needle: str, text: str, floor: float) -> tuple[float, str] |
     Windows are compared from the best bound down until no bound reaches the best ratio.
     """
     n = len(needle)
-    if n == 0 or len(text) < n:
+    if n == 0:
         return None
     pin, hay = (np.frombuffer(s.encode("ascii"), dtype=np.uint8) for s in (needle, text))
     sizes = [s for s in (n - 1, n, n + 1) if 0 < s <= len(text)]
@@ -80,31 +87,85 @@ def closest_window(needle: str, text: str, floor: float) -> tuple[float, str] |
         return None
     edits = _least_edits(needle, text)
     queue = []
-    for rank, (size, bound) in enumerate(zip(sizes, bounds, strict=True)):
+    for size, bound in zip(sizes, bounds, strict=True):
         bound = np.minimum(bound, 1.0 - edits[size - 1:] / (size + n))
-        queue += [(-bound[i], rank, int(i)) for i in np.flatnonzero(bound >= floor)]
+        queue += [(-bound[i], size, int(i)) for i in np.flatnonzero(bound >= floor)]
     best, place, found = floor, None, None
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(needle)
-    for bound, rank, i in sorted(queue):
+    for bound, size, i in sorted(queue):
         if -bound < best:
             break
-        window = text[i:i + sizes[rank]]
+        window = text[i:i + size]
         matcher.set_seq1(window)
         ratio = matcher.ratio()
-        if ratio > best or (ratio == best and (place is None or (rank, i) < place)):
-            best, place, found = ratio, (rank, i), window
-    return None if found is None else (best, found)
+        if ratio > best or (ratio == best and (place is None or (size, i) < place)):
+            best, place, found = ratio, (size, i), window
+    return None if found is None else (best, *place, found)
+
+
+def candidate_regions(needle, text, floor: float) -> Column:
+    """Parts of a text, as (``start``, ``part``), that hold every window of at least ``floor`` similarity.
+
+    A window of n - 1 to n + 1 letters that reaches ``floor`` leaves at most e = (2n + 1)(1 - floor) letters of
+    both sides unmatched. Cut into e + 1 pieces, the needle has one that none of them touches: the window
+    holds it letter by letter, at most e places away from where the needle has it. So only the surroundings of
+    exact occurrences of pieces are candidates. An occurrence that overlaps the one before it starts less
+    than a piece later, by which a region is longer. Regions that touch are one."""
+    needle, text = (F.col(x) if isinstance(x, str) else x for x in (needle, text))
+    n = F.length(needle)
+    errors = F.floor((2 * n + 1) * F.lit(1.0 - floor) + F.lit(1e-9)).cast("int")
+    # more pieces than letters: no piece is left to look for, the text is one region
+    pieces = F.least(errors + 1, n)
+    first = lambda i: F.floor(i * n / pieces).cast("int")
+
+    def around(i):
+        piece = F.substring(needle, first(i) + 1, first(i + 1) - first(i))
+        parts = F.split(text, piece)
+        size = F.length(piece)
+        places = F.aggregate(
+            F.slice(parts, 1, F.size(parts) - 1),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+            lambda a, part: F.struct((a["at"] + F.length(part) + size).alias("at"),
+                                     F.concat(a["found"], F.array(a["at"] + F.length(part))).alias("found")),
+            lambda a: a["found"])
+        return F.transform(places, lambda p: F.struct(
+            F.greatest(p - first(i) - errors - 1, F.lit(0)).alias("start"),
+            F.least(p - first(i) + n + 1 + errors + size, F.length(text)).alias("end")))
+
+    spots = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), around)))
+    merged = F.aggregate(
+        spots, F.array().cast("array<struct<start:int,end:int>>"),
+        lambda a, r: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] >= r["start"]), F.concat(
+            F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
+                F.get(a, F.size(a) - 1)["start"].alias("start"),
+                F.greatest(F.get(a, F.size(a) - 1)["end"], r["end"]).alias("end"))))).otherwise(
+            F.concat(a, F.array(r))))
+    regions = F.transform(F.filter(merged, lambda r: r["end"] > r["start"]), lambda r: F.struct(
+        r["start"].alias("start"), F.substring(text, r["start"] + 1, r["end"] - r["start"]).alias("part")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("part")))
+    return F.when(F.length(text) >= n, F.when(errors >= n, whole).otherwise(regions))
 
 
 def window_search(floor: float):
-    """UDF (needle, text) -> struct(ratio, matched); both hold capital letters and digits only."""
+    """UDF (needle, regions of its text, their number) -> struct(ratio, matched): the window of the whole text
+    that ``closest_window`` finds; both hold capital letters and digits only. As the regions are asked for
+    twice, they stay a column of their own: Spark does not take a Python function out of a projection whose
+    lambdas it would hold."""
     @F.pandas_udf(_WINDOW)
-    def search(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
-        rows = [closest_window(x, y, floor) if x is not None and y is not None else None
-                for x, y in zip(needle, text, strict=True)]
-        return pd.DataFrame({"ratio": [r[0] if r else None for r in rows],
-                             "matched": [r[1] if r else None for r in rows]})
+    def search(needle: pd.Series, regions: pd.Series, count: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, parts, n in zip(needle, regions, count, strict=True):
+            best = None
+            for r in parts if x is not None and n is not None and n > 0 else ():
+                found = _closest(x, r["part"], floor)
+                if found is not None:
+                    rank = (-found[0], found[1], found[2] + r["start"])
+                    if best is None or rank < best[0]:
+                        best = rank, found[0], found[3]
+            out.append(best)
+        return pd.DataFrame({"ratio": [r[1] if r else None for r in out],
+                             "matched": [r[2] if r else None for r in out]})
     return search.asNondeterministic()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta import rules
 from attesta.functions import text as t
-from attesta.functions.similarity import window_search
+from attesta.functions.similarity import candidate_regions, window_search
 from attesta.operators.reading import limit_pages
 
 DOC = ["sha256", "version"]
@@ -50,7 +50,8 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
 
     Exact hits are found by plain expressions. Only values that occur nowhere exactly and have
     four letters or more go to the window search, against their page first and against the whole
-    document only if that found nothing.
+    document only if that found nothing. It is not given texts but the surroundings of pieces of the value
+    that a text holds (``candidate_regions``), which hold every window that can pass.
     """
     search = window_search(min_ratio)
     bundle = page_texts(pages, doc, most_pages)
@@ -68,16 +69,20 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
     df = df.withColumn("__needle", F.when(asked, t.alnum(value)))
     long_enough = F.length("__needle") >= 4
     sought = F.col("__here").isNull() & long_enough   # no text goes to Python without its needle
-    df = df.withColumn("__near", search(
-        F.when(sought, F.col("__needle")), F.when(sought, F.col("__on.text"))))
+    df = df.withColumn("__ask", F.when(sought, F.col("__needle"))).withColumn("__text_on", F.when(
+        F.col("__ask").isNotNull(), F.col("__on.text")))
+    df = df.withColumn("__parts", candidate_regions(F.col("__ask"), F.col("__text_on"), min_ratio))
+    df = df.withColumn("__near", search(F.col("__ask"), F.col("__parts"), F.size("__parts"))).drop("__parts", "__text_on")
     # the whole document is another text only when it has more than the stated page
     open_ = (F.col("__here").isNull() & F.col("__near.ratio").isNull()
              & (F.col("__on").isNull() | (F.col("__count") > 1)))
     df = df.withColumn("__any", F.when(asked & open_, _exact(value, kind, F.col("__text"))))
     # a value exactly on another page needs no window search over the whole document
-    df = df.withColumn("__far", search(
-        F.when(open_ & F.col("__any").isNull() & long_enough, F.col("__needle")),
-        F.when(open_ & F.col("__any").isNull() & long_enough, F.col("__text"))))
+    last = open_ & F.col("__any").isNull() & long_enough
+    df = df.withColumn("__ask", F.when(last, F.col("__needle"))).withColumn("__text", F.when(
+        F.col("__ask").isNotNull(), F.col("__text")))
+    df = df.withColumn("__parts", candidate_regions(F.col("__ask"), F.col("__text"), min_ratio))
+    df = df.withColumn("__far", search(F.col("__ask"), F.col("__parts"), F.size("__parts")))
     exact = F.coalesce("__here", "__any")
     ratio = F.coalesce("__near.ratio", "__far.ratio")
     window = F.coalesce("__near.matched", "__far.matched")

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from attesta import rules
 from attesta.functions import text as t
 from attesta.operators import cells as ce
 from attesta.operators import fields as fi
@@ -102,11 +103,11 @@ register("normalize", {"vals": VALUES}, lambda vals: fi.normalize_fields(vals),
     """)
 
 # ---------------------------------------------------------------- D5
-# each document is asked for its own first line, a benchmark text, a number and a box
+# each document is asked for its own first line, a line that no text has, a number and a box
 ASKED = ("SELECT cast(d.doc_id AS string) AS sha256, 'v1' AS version, 'own' AS name, 'text' AS kind, "
-         "substring(d.text, 1, 40) AS value, 1 AS page FROM {documents} d "
-         "UNION ALL SELECT cast(d.doc_id AS string), 'v1', 'bench', 'text', b.text, 1 FROM {documents} d "
-         "JOIN {benchmark} b ON d.doc_id % 40 = b.item_id "
+         "split_part(d.text, chr(10), 1) AS value, 1 AS page FROM {documents} d "
+         "UNION ALL SELECT cast(d.doc_id AS string), 'v1', 'absent', 'text', concat('ZQXJ WVKZ QJXZ ', "
+         "cast(d.doc_id AS string), ' KZQXJ VVKZQ'), 1 FROM {documents} d "
          "UNION ALL SELECT cast(d.doc_id AS string), 'v1', 'box', 'choice', 'X', 1 FROM {documents} d "
          "UNION ALL SELECT cast(d.doc_id AS string), 'v1', 'short', 'code', "
          "cast(d.doc_id % 1000 AS string), 2 FROM {documents} d")
@@ -114,30 +115,47 @@ TEXTS = ("SELECT cast(doc_id AS string) AS sha256, 'v1' AS version, 1 AS page_nu
          "text AS grounding_text, CASE WHEN n_chars < 500 THEN 'POOR' ELSE 'GOOD' END AS "
          "quality_label FROM {documents}")
 _ALNUM = "regexp_replace(upper(replace({0}, 'ñ', 'Ñ')), '[^A-Z0-9]', '', 'g')"
-_SQ = ("regexp_replace(translate(upper({0}), 'Ñ', 'N'), '[^A-Z0-9]', '', 'g')")
+# upper case of a sharp s is two letters
+_SQ = ("regexp_replace(translate(upper(replace({0}, 'ß', 'SS')), 'Ñ', 'N'), '[^A-Z0-9]', '', 'g')")
 
 
 register("ground", {"asked": ASKED, "texts": TEXTS},
-    lambda asked, texts: fi.ground_fields(asked, texts).where(
-        F.col("grounding").isin("EXACT", "UNVERIFIABLE")).select(
+    lambda asked, texts: fi.ground_fields(asked, texts).select(
         "sha256", "name", "grounding", "score", "page_quality",
         F.sha2("ocr_match", 256).alias("match_hash")),
     f"""
-    SELECT sha256, name, CASE WHEN kind = 'choice' THEN 'UNVERIFIABLE' ELSE 'EXACT' END AS grounding,
-        cast(CASE WHEN kind = 'choice' THEN 0 ELSE 1 END AS double) AS score, quality_label AS page_quality,
-        CASE WHEN kind <> 'choice' THEN sha256(value) END AS match_hash
-    FROM asked JOIN texts USING (sha256)
-    WHERE trim(value) <> '' AND (kind = 'choice' OR ({_SQ.format('value')} <> '' AND
-        contains({_SQ.format('grounding_text')}, {_SQ.format('value')})))
+    , j AS (SELECT *, {_SQ.format('value')} AS v, coalesce({_SQ.format('grounding_text')}, '') AS t FROM asked JOIN texts USING (sha256)),
+    g AS (SELECT *, CASE WHEN value IS NULL OR trim(value, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN NULL
+        WHEN kind = 'choice' THEN 'UNVERIFIABLE'
+        WHEN v <> '' AND contains(t, v) THEN 'EXACT' ELSE 'NOT_FOUND' END AS grounding FROM j)
+    SELECT sha256, name, grounding, cast(CASE WHEN grounding = 'EXACT' THEN 1 ELSE 0 END AS double) AS score,
+        quality_label AS page_quality, CASE WHEN grounding = 'EXACT' THEN sha256(value) END AS match_hash
+    FROM g
     """)
 
-# one letter of each document's own first letters replaced: the window search must find it
-FUZZY = ("SELECT cast(doc_id AS string) AS sha256, 'v1' AS version, 'own' AS name, 'text' AS kind, "
+# one letter of each document's own first letters replaced, as a text and as a code: the window search
+# must find it, as similar (FUZZY), or as contradicting the text (CONFLICT: codes, and other numbers)
+FUZZY = ("SELECT cast(doc_id AS string) AS sha256, 'v1' AS version, k.kind AS name, k.kind, "
          "concat(substring(text, 1, 12), 'Q', substring(text, 14, 12)) AS value, 1 AS page "
-         "FROM {documents}")
+         "FROM {documents} CROSS JOIN (SELECT 'text' AS kind UNION ALL SELECT 'code') k")
+_NUMBERS = "regexp_replace(regexp_replace({0}, '([0-9]+)', ';\\1;', 'g'), '[A-Z]+', '', 'g')"
 register("ground_fuzzy", {"asked": FUZZY, "texts": TEXTS},
     lambda asked, texts: fi.ground_fields(asked, texts).select(
-        "sha256", "grounding", "score", "ocr_match"))
+        "sha256", "name", "grounding", "score", F.when(F.col("grounding") != "EXACT", F.col("ocr_match")).alias("ocr_match")),
+    # the letters replaced are window o, of as many letters as the needle or, where no letter was replaced, one less
+    f"""
+    , j AS (SELECT sha256, name, kind, value, {_SQ.format('value')} AS v, coalesce({_SQ.format('grounding_text')}, '') AS t,
+        {_SQ.format('substring(grounding_text, 1, 25)')} AS o FROM asked JOIN texts USING (sha256)),
+    w AS (SELECT *, CASE WHEN length(v) >= 4 AND length(t) >= length(v) AND NOT contains(t, v) THEN
+        2.0 * (length(v) - 1) / (length(v) + length(o)) END AS ratio, {_NUMBERS.format('v')} AS nv, {_NUMBERS.format('o')} AS no FROM j),
+    g AS (SELECT *, CASE WHEN value IS NULL OR trim(value, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN NULL
+        WHEN v <> '' AND contains(t, v) THEN 'EXACT' WHEN ratio IS NULL OR ratio < {rules.FUZZY_MIN_RATIO} THEN 'NOT_FOUND'
+        WHEN kind = 'code' OR NOT (nv LIKE '%' || replace(no, ';;', ';%;') || '%' OR no LIKE '%' || replace(nv, ';;', ';%;') || '%')
+        THEN 'CONFLICT' ELSE 'FUZZY' END AS grounding FROM w)
+    SELECT sha256, name, grounding, cast(CASE WHEN grounding = 'EXACT' THEN 1 WHEN grounding IN ('FUZZY', 'CONFLICT')
+        THEN round(ratio, 3) ELSE 0 END AS double) AS score, CASE WHEN grounding IN ('FUZZY', 'CONFLICT') THEN o END AS ocr_match
+    FROM g
+    """)
 
 # ---------------------------------------------------------------- D6, D7
 SCORED = ("SELECT cast(o_orderkey AS string) AS sha256, 'v1' AS version, 0 AS spec_pos, 'f' AS name, "

@@ -161,3 +161,28 @@ def test_closest_window_equals_plain_search():
                         best, found = r, text[i:i + size]
         want = (best, found) if best >= 0.85 else None
         assert closest_window(needle, text, 0.85) == want
+
+
+def test_search_in_regions_equals_search_in_the_whole_text(spark):
+    """Pieces of the value lead to every window that can pass: letters changed, dropped, added, repeated."""
+    import random
+    from attesta.functions.similarity import candidate_regions, window_search
+    rnd, rows = random.Random(17), []
+    for _ in range(700):
+        letters = rnd.choice(["AB", "ABCDEFGH12", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.choice([3, 8, 60, 400])))
+        at, n = rnd.randrange(len(text)), rnd.choice([4, 5, 9, 20, 60])
+        needle = list(text[at:at + n])
+        for _ in range(rnd.choice([0, 1, 2, 4])):
+            k = rnd.randrange(len(needle) + 1)
+            needle[k:k + rnd.randint(0, 1)] = rnd.choice([[], ["Z"], [rnd.choice(letters)]])
+        rows.append(("".join(needle) or "A", text))
+    rows += [("AAAA", "AAAAAAAA"), ("ABAB", "BABABABABA"), ("AAAB" * 5, "A" * 50)]
+    for floor in (0.85, 0.6):
+        df = spark.createDataFrame(rows, "needle string, text string").withColumn("parts", candidate_regions("needle", "text", floor))
+        got = df.withColumn("found", window_search(floor)("needle", "parts", F.size("parts"))).collect()
+        for r in got:
+            want = closest_window(r["needle"], r["text"], floor)
+            assert (None if r["found"]["ratio"] is None else (r["found"]["ratio"], r["found"]["matched"])) == want, (r["needle"], r["text"])
+    held = [sum(len(p["part"]) for p in r["parts"] or ()) for r in got if len(r["text"]) == 400 and len(r["needle"]) > 15]
+    assert held
