@@ -442,6 +442,34 @@ register("activation", {"accounts": ACCOUNTS, "facts": FACTS, "people": CONTACTS
              contains(upper(cur), upper(c.value)) END AS ok) l2
     """)
 
+# the fifth check: a street like the documents', another one, a city alone, nothing
+STREETS = ("SELECT cast(c_custkey AS string) AS account_id, CASE c_custkey % 3 WHEN 0 THEN concat('Unit ', "
+           "cast(c_custkey AS string), ' Rizal Street') WHEN 1 THEN 'Somewhere else altogether' END AS Billing_Street, "
+           "CASE WHEN c_custkey % 2 = 0 THEN 'Pasig' END AS Billing_City, 'UNKNOWN' AS business_form FROM {customer}")
+PLACES = ("SELECT cast(c_custkey AS string) AS account_id, 'address' AS attribute, CASE WHEN c_custkey % 5 = 0 THEN "
+          "'BLOCK 9 NOWHERE' ELSE concat('UNIT ', cast(c_custkey AS string), ' RIZAL STREET, PASIG') END AS value, "
+          "'BIR_2303' AS document_type FROM {customer} WHERE c_custkey % 7 > 0")
+MOVES = ("SELECT cast(c_custkey AS string) AS account_id, 'Billing_Street' AS target_field, CASE WHEN c_custkey % 8 = 0 "
+         "THEN 'FILL' ELSE 'CORRECT' END AS action, 'the new street' AS proposed_value FROM {customer} WHERE c_custkey % 4 = 0")
+register("activation_address", {"accounts": STREETS, "chosen": PLACES, "moves": MOVES, "people": CONTACTS},
+    lambda accounts, chosen, moves, people: d.activation_checks(
+        accounts, people.withColumn("primary", F.col("prim")).withColumn(
+            "roles", F.create_map(F.lit("Contact_of"), F.col("role"))).where("account_id IS NULL"), chosen, moves).select(
+        "account_id", "key", "status", "detail"),
+    """
+    , x AS (SELECT a.account_id, nullif(concat_ws(', ', Billing_Street, Billing_City), '') AS now, value, document_type, action,
+        proposed_value, Billing_Street FROM accounts a LEFT JOIN chosen USING (account_id) LEFT JOIN moves USING (account_id)),
+    y AS (SELECT *, now IS NOT NULL AND NOT starts_with(value, 'BLOCK') AND coalesce(Billing_Street, '') NOT LIKE 'Some%' AS ok FROM x)
+    SELECT account_id, 'billing_address' AS key, CASE WHEN value IS NULL THEN 'FAIL' WHEN ok THEN 'PASS' WHEN action IS NOT NULL
+        THEN 'AFTER_UPDATE' ELSE 'FAIL' END AS status, CASE WHEN value IS NULL THEN 'not found on the documents'
+        WHEN ok THEN 'matches ' || document_type || ': ' || value WHEN action IS NOT NULL THEN coalesce(chr(39) || now || chr(39), 'empty') ||
+        ' - to be ' || CASE action WHEN 'FILL' THEN 'filled' ELSE 'corrected' END || ' with ' || proposed_value
+        WHEN now IS NULL THEN 'empty in CRM' ELSE 'CRM has ' || now || ', documents say ' || value END AS detail FROM y
+    UNION ALL SELECT account_id, key, 'FAIL', detail FROM accounts CROSS JOIN (VALUES ('payment_terms', 'Payment Terms: empty'),
+        ('accounting_contact', 'no Contact with Contact of = Accounting or marked as the primary contact'),
+        ('tin', 'not found on the documents'), ('invoice_name', 'not found on the documents')) v(key, detail)
+    """)
+
 TEXTS = ("SELECT account_id, attribute_pos, concat('Documents disagree on ', attribute) AS message FROM (" +
          CRITICAL + ") x WHERE severity = 'CRITICAL'")
 ACTS = ("SELECT cast(c_custkey AS string) AS account_id, 1 AS pos, 'key' AS key, 'Label' AS label, CASE WHEN "

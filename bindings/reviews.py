@@ -13,20 +13,21 @@ from attesta.operators import decide as d
 # ---------------------------------------------------------------- H1-H3
 EVIDENCE = FACTS.replace("'field' AS source_field", "'attr' AS attr, 'field' AS source_field")
 register("review_rows", {"props": PROPOSALS, "facts": EVIDENCE},
-    lambda props, facts: rv.for_record(rv.build_review_rows(props, rv.evidence_lines(
-        facts.withColumn("attribute", F.lit("attr")).where(F.col("confidence") > 0.9))), texts=2000).select(
+    lambda props, facts: rv.build_review_rows(props, rv.evidence_lines(
+        facts.withColumn("attribute", F.lit("attr")))).select(
         "account_id", "row_pos", "target_field", "field_label", "proposed_value", "action",
         "ocr_check", "auto_applied", "decision", "evidence"),
     """
-    , ev AS (SELECT account_id, string_agg(document_type || ' ' || file_name || ': ' || value || ' (' || grounding ||
-             ' 0.95)', chr(10) ORDER BY rank, doc_pos) AS e FROM facts WHERE confidence > 0.9 GROUP BY account_id),
+    , ev AS (SELECT account_id, string_agg(document_type || ' ' || file_name || ': ' || value || ' (' ||
+             concat_ws(' ', grounding, cast(confidence AS varchar)) || ')', chr(10) ORDER BY rank, doc_pos, seq) AS e
+             FROM facts GROUP BY account_id),
     n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY CASE WHEN action IN ('FILL', 'CORRECT',
           'DIFFERS') THEN 0 ELSE 1 END, target_field) AS row_pos FROM props),
     x AS (SELECT *, concat_ws(chr(10), e, reason) AS txt FROM n LEFT JOIN ev USING (account_id))
     SELECT account_id, row_pos, target_field, CASE target_field WHEN 'Tax_Identification_Number_TIN' THEN 'TIN' ELSE
         replace(target_field, '_', ' ') END AS field_label, nullif(proposed_value, '') AS proposed_value, action,
         grounding AS ocr_check, 'No' AS auto_applied, CASE WHEN action <> 'MATCH' THEN 'Pending' END AS decision,
-        CASE WHEN length(txt) <= 2000 THEN txt ELSE substr(txt, 1, 1999) || '…' END AS evidence
+        txt AS evidence
     FROM x WHERE row_pos <= 25
     """)
 
@@ -54,9 +55,9 @@ SUM_ACTS = ("SELECT cast(c_custkey AS string) AS account_id, 0 AS pos, 'payment_
             "c_custkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, 'Payment Terms: empty' AS detail FROM {customer}")
 register("review_summary", {"alerts": SUM_ALERTS, "recs": SUM_RECS, "acts": SUM_ACTS, "formed": _FORMED, "docs": DOCS,
                             "props": PROPOSALS},
-    lambda alerts, recs, acts, formed, docs, props: rv.for_record(rv.review_summary(
+    lambda alerts, recs, acts, formed, docs, props: rv.review_summary(
         recs.withColumn("reasons", F.array("r1", "r2")), alerts, d.check_requirements(docs, formed), acts, props,
-        recs, docs.groupBy("account_id").agg(F.count("*").alias("n"))), texts=2000).select(
+        recs, docs.groupBy("account_id").agg(F.count("*").alias("n"))).select(
         "account_id", "recommendation_reasons", "alerts", "documents_found", "lowest_confidence"),
     """
     , a AS (SELECT account_id, string_agg(n || '. ' || t, chr(10) ORDER BY pos) AS alerts FROM (SELECT account_id, pos,
@@ -75,7 +76,7 @@ register("review_summary", {"alerts": SUM_ALERTS, "recs": SUM_RECS, "acts": SUM_
         CASE status WHEN 'FAIL' THEN 'Activation checks: 0 of 1 met' || chr(10) || '  ✗ COD: Payment Terms: empty' ELSE
             'Activation checks: 1 of 1 met' || chr(10) || '  ✓ COD' END || chr(10) || chr(10) ||
         'Customer Status: not changed - a reviewer decides.' AS recommendation_reasons,
-        CASE WHEN length(alerts) <= 2000 THEN alerts ELSE substr(alerts, 1, 1999) || '…' END AS alerts,
+        alerts,
         coalesce(n, 0) AS documents_found, lowest AS lowest_confidence
     FROM recs r JOIN acts USING (account_id) LEFT JOIN a USING (account_id) LEFT JOIN l USING (account_id)
         LEFT JOIN c USING (account_id)
