@@ -9,13 +9,21 @@ from attesta.functions.similarity import office_kind
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """A1. Every file below ``path``: path, file_name, size, modified, content. Spark's file sources
-    skip files of zero bytes; those only show where the list of references comes from elsewhere."""
+    """A1. Every file below ``path``: path, file_name, size, modified, content.
+
+    Spark's file sources list files of zero bytes but read none of them: those are the listed files without a
+    row, and get an empty content here (their time of change is not listed, so it is null)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path))
-    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
-                        F.col("length").alias("size"),
-                        F.col("modificationTime").alias("modified"), "content")
+    read = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
+    # a listed name is escaped, a path is not
+    path = F.regexp_replace(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    empty = listed.join(files.select(F.input_file_name().alias("uri")), "uri", "left_anti").select(
+        path.alias("path"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"),
+        F.lit(b"").alias("content"))
+    return read.unionByName(empty).select(
+        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "size", "modified", "content")
 
 
 # How a file of each format begins (hex pattern of its first bytes)

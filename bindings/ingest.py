@@ -1,9 +1,12 @@
 """Sources, content addressing and reading over documents, conversations, orders."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta.operators import dedupe as dd
 from attesta.operators import reading as rd
+from attesta.session import checkpoint_ready
 from attesta.sources import accounts as acc
 from attesta.sources import files as fl
 from attesta.sources import logs
@@ -15,7 +18,7 @@ DOCS = ("SELECT source AS job_id, doc_id, doc_id AS pos, text AS content, "
 
 # ---------------------------------------------------------------- A
 QUERIES["scan_files"] = lambda spark, sf: fl.scan_files(spark, sf, "*.parquet").select(
-    "file_name", "size")
+    "file_name", "size", F.sha2("content", 256).alias("sha256"))
 
 register("source_refs", {
     "orders_": "SELECT * FROM {orders}", "customers": "SELECT * FROM {customer}",
@@ -158,6 +161,44 @@ register("logs", {"updates": "SELECT cast(o_custkey AS string) AS account_id, o_
     "SELECT account_id, field, coalesce(old_value, '') AS old_value, new_value, '' AS how "
     "FROM updates")
 
+
+
+def _written(**frames):
+    """All four logs and the audit events: written by a run, by the same run again, and by another one."""
+    names = {"Verifications": "asked", "Field Updates": "updates", "Activations": "active", "Document Expiry": "expiring"}
+    held = {log: frames[f] for log, f in names.items()} | {"Audit": logs.audit_events(
+        frames["seen"], "READ", F.concat(F.lit("Read "), F.col("job_id")), ["event", "n"])}
+    spark = frames["seen"].sparkSession
+    checkpoint_ready(spark, required=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/logs-{uuid.uuid4().hex}"
+    for day, run in (("2026-09-01", "one"), ("2026-09-01", "one"), ("2026-09-02", "two")):
+        logs.write_logs(held, path, day, run)
+    shown = {"Verifications": "reason", "Field Updates": "old_value", "Activations": "dv_number", "Document Expiry": "level",
+             "Audit": "payload"}
+    out = None
+    for log, column in shown.items():
+        rows = logs.read_logs(spark, path, log)
+        rows = rows.select(F.lit(log).alias("log"), F.col("job_id" if log == "Audit" else "account_id").alias("id"),
+                           F.col(column).alias("shown"), F.col("log_date").cast("string").alias("log_date"), "run")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("logs_written", {
+    "asked": "SELECT cast(o_orderkey AS string) AS account_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS reason FROM {orders}",
+    "updates": "SELECT cast(o_orderkey AS string) AS account_id, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus END AS old_value FROM {orders}",
+    "active": "SELECT cast(c_custkey AS string) AS account_id FROM {customer}",
+    "expiring": "SELECT cast(s_suppkey AS string) AS account_id, '30 days' AS level FROM {supplier}",
+    "seen": "SELECT cast(event_id AS string) AS job_id, event_type AS event, event_id % 7 AS n, ts AS created_at FROM {events}"},
+    _written,
+    """
+    , l AS (SELECT 'Verifications' AS log, account_id AS id, coalesce(reason, '') AS shown FROM asked
+        UNION ALL SELECT 'Field Updates', account_id, coalesce(old_value, '') FROM updates
+        UNION ALL SELECT 'Activations', account_id, '' FROM active UNION ALL SELECT 'Document Expiry', account_id, level FROM expiring
+        UNION ALL SELECT 'Audit', job_id, '{"event":"' || event || '","n":' || n || '}' FROM seen)
+    SELECT log, id, shown, log_date, run FROM l CROSS JOIN (VALUES ('2026-09-01', 'one'), ('2026-09-02', 'two')) r(log_date, run)
+    """)
+
 # ---------------------------------------------------------------- B
 register("duplicates", {"docs": DOCS},
     lambda docs: dd.mark_duplicates(docs).select(

@@ -88,6 +88,22 @@ ORACLES["stream_once"] = ("SELECT DISTINCT event_type AS kind, cast(user_id AS s
                           "FROM events")
 
 
+def ledger(spark, sf_dir):
+    """Notices once for all time: the stream is run, and then started anew with nothing left to add."""
+    checkpoint_ready(spark, required=True)
+    base = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    notices = source(spark, sf_dir).select(
+        F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("ref"), F.col("ts").alias("created_at"))
+    for start in ("first", "second"):
+        st.write_once(notices, f"{base}/ledger", f"{base}/{start}").awaitTermination()
+    return spark.read.parquet(f"{base}/ledger").select("kind", "ref", "created_at")
+
+
+QUERIES["stream_ledger"] = ledger
+ORACLES["stream_ledger"] = ("SELECT event_type AS kind, cast(user_id AS string) AS ref, min(ts) AS created_at "
+                            "FROM events GROUP BY ALL")
+
+
 def audit_counts(spark, sf_dir):
     counts = st.stream_audit_counts(source(spark, sf_dir), at="ts")
     return drained(spark, counts).select(

@@ -39,9 +39,8 @@ def test_scan_and_check_files(spark, rows, tmp_path):
     for name, data in items.items():
         (tmp_path / name).write_bytes(data)
     files = fl.scan_files(spark, str(tmp_path))
-    assert files.count() == len(items) - 1      # Spark's file sources skip empty files
-    files = files.select("file_name", "content").unionByName(spark.createDataFrame(
-        [("empty.pdf", b"")], "file_name string, content binary"))
+    held = {r["file_name"]: (r["size"], bytes(r["content"])) for r in rows(files)}
+    assert held == {name: (len(data), data) for name, data in items.items()}       # the empty file as well
     got = {r["file_name"]: r for r in rows(fl.check_files(files, 3000))}
     assert {n: r["extension"] for n, r in got.items() if r["ok"]} == {
         "a.pdf": "pdf", "b.png": "png", "c.xlsx": "xlsx", "d.docx": "docx", "f.doc": "doc",
@@ -100,6 +99,27 @@ def test_logs(spark, rows, tmp_path):
     assert rows(spark.read.parquet(where["Audit"]))[0]["payload"] == '{"n":3}'
 
 
+def test_odd_file_names_and_empty_files(spark, rows, tmp_path):
+    items = {"a b.txt": b"x", "ü+%20.txt": b"y", "empty one.txt": b"", "e+2.txt": b"", "other.bin": b""}
+    (tmp_path / "deep er").mkdir()
+    for name, data in items.items():
+        (tmp_path / "deep er" / name).write_bytes(data)
+    got = rows(fl.scan_files(spark, str(tmp_path), "*.txt"))
+    assert sorted((r["size"], bytes(r["content"])) for r in got) == [(0, b""), (0, b""), (1, b"x"), (1, b"y")]
+
+
+def test_a_run_of_the_logs_shows_whole_and_once(spark, rows, tmp_path):
+    frames = lambda n: {"Field Updates": spark.range(n).select(F.col("id").cast("string").alias("account_id")),
+                        "Activations": spark.range(2).select(F.col("id").cast("string").alias("account_id"))}
+    for n, day, run in ((5, "2026-10-01", "one"), (3, "2026-10-01", "one"), (4, "2026-10-02", "two")):
+        logs.write_logs(frames(n), str(tmp_path), day, run)
+    # a run that broke off before it was listed
+    logs.log_rows(frames(7)["Field Updates"], "Field Updates").write.parquet(str(tmp_path / "field_updates/log_date=2026-10-03/run=three"))
+    got = logs.read_logs(spark, str(tmp_path), "Field Updates").groupBy("run").count().collect()
+    assert {r["run"]: r["count"] for r in got} == {"one": 3, "two": 4}
+    assert logs.read_logs(spark, str(tmp_path), "Activations").count() == 4
+
+
 def test_duplicates_with_one_hot_content(spark, rows):
     docs = spark.range(3000).select(
         F.lit("j").alias("job_id"), F.col("id").alias("doc_id"), (-F.col("id")).alias("pos"),
