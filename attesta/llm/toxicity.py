@@ -47,7 +47,7 @@ ONE_ERROR, TWO_ERRORS = 5, 10
 AROUND = 4
 THRESHOLD = 0.7
 #: Bytes of words a worker remembers (as many again from before), and the longest word remembered.
-REMEMBERED_BYTES, SHORT = 32 << 20, 64
+REMEMBERED_BYTES, SHORT = 80 << 20, 64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\W_]+(?:['’@$!*.\-_]?[^\W_]+)*")
@@ -55,6 +55,7 @@ QUOTES = "\"'“”„‘’«»‹›`"
 
 
 RUN = re.compile(r"[^\W_]+")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def core_of(word: str) -> str:
@@ -76,7 +77,8 @@ def words_of(text: str, split) -> list[str]:
     the end of its letters, the last one to the end. ``split`` takes one such stretch apart."""
     out = []
     for stretch in WORD.findall(text):
-        found = split(stretch)
+        # letters with marks around them only are one word
+        found = None if stretch.isalnum() or stretch.strip(MARKS).isalnum() else split(stretch)
         if found is None:
             out.append(stretch)
         else:
@@ -199,8 +201,14 @@ class Model:
 
     def hits(self, words):
         """(place, term, errors) of all matches in a text's words."""
-        match = self.match
-        return [(i, *hit) for i, hit in enumerate(map(match, words)) if hit]
+        match, out = self.match, []
+        for i, word in enumerate(words):
+            hit = match.now.get(word, 0)
+            if hit == 0:
+                hit = match(word)
+            if hit:
+                out.append((i, *hit))
+        return out
 
     def features(self, words):
         hits = self.hits(words)
