@@ -95,10 +95,11 @@ class WordIds(dict):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):   # each is one run of letters after the tokenizer's normalising too
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                for word, a, b in zip(some, [0, *ends], ends):  # noqa: B905
-                    self.remember(word, raw[a:b])
+                self.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
+                self.used += len(raw) + 210 * len(some)
         for word, core, marks in whole:
-            self.remember(word, self[core] + self[marks] if marks else self[core])
+            self[word] = self[core] + self[marks] if marks else self[core]
+        self.used += 250 * len(whole)
 
     def texts(self, texts):
         split = [t.replace("\n", " ").split(" ") for t in texts]
