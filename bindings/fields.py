@@ -285,11 +285,11 @@ _CROSS = """
     e AS (SELECT *, CASE WHEN right(tin, 5) = '00000' THEN 'HEAD OFFICE' ELSE 'BRANCH' END AS expected
           FROM w)"""
 register("cross_fields", {"reg": REGISTERED},
-    lambda reg: fi.cross_field_rules(reg, ["sha256"])[0].where(
-        F.col("name") == "registering_office").select("sha256", "grounding", "confidence"),
-    _CROSS + """ SELECT sha256, CASE WHEN office IS NULL THEN 'UNVERIFIABLE' WHEN office = expected THEN
-        'CROSS_CHECKED' ELSE 'CONFLICT' END AS grounding, cast(CASE WHEN office IS NULL THEN 0.5 WHEN
-        office = expected THEN 0.9 ELSE 0.2 END AS double) AS confidence FROM e""")
+    lambda reg: fi.cross_field_rules(reg, ["sha256"])[0].select("sha256", "name", "grounding", "confidence"),
+    _CROSS + """ SELECT sha256, name, CASE WHEN name <> 'registering_office' OR office IS NULL THEN r.grounding
+        WHEN office = expected THEN 'CROSS_CHECKED' ELSE 'CONFLICT' END AS grounding,
+        cast(CASE WHEN name <> 'registering_office' OR office IS NULL THEN r.confidence
+        WHEN office = expected THEN 0.9 ELSE 0.2 END AS double) AS confidence FROM reg r JOIN e USING (sha256)""")
 register("cross_field_issues", {"reg": REGISTERED},
     lambda reg: fi.cross_field_rules(reg, ["sha256"])[1].drop("pos"),
     _CROSS + """ SELECT sha256, 'BRANCH_MISMATCH' AS code, 'TIN branch code ' || right(tin, 5) || ' means '

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from attesta import rules
 from attesta.operators import dedupe as dd
 from attesta.operators import reading as rd
 from attesta.session import checkpoint_ready
@@ -106,26 +107,20 @@ OUTPUTS = ("SELECT 'h' || cast(o_orderkey AS string) AS sha256, 'v1' AS version,
            "o_orderkey, o_custkey, o_orderpriority FROM {orders}")
 _TYPE = ("CASE WHEN o_orderkey % 7 = 0 THEN 'DTI_BN_CERT' WHEN o_orderpriority = '1-URGENT' THEN "
          "'BIR_2303' WHEN o_orderpriority = '2-HIGH' THEN 'DTI_BN_CERT' ELSE 'OTHER' END")
+_SPECS = ", ".join(f"('{kind}', '{name}', '{field}')" for kind, fields in rules.FIELD_SPECS.items()
+                   for name, field, *_ in fields)
 register("model_output", {"outputs": OUTPUTS},
-    lambda outputs: mo.explode_model_output(outputs).where(
-        F.col("value").isNotNull() | F.col("required")).select(
+    lambda outputs: mo.explode_model_output(outputs).select(
         "sha256", "document_type", "name", "kind", "value", "evidence", "page"),
     f"""
     , typed AS (SELECT sha256, o_orderkey, o_custkey, {_TYPE} AS document_type FROM outputs),
-    specs(document_type, name, kind, required) AS (VALUES
-        ('BIR_2303', 'tin', 'tin', true), ('BIR_2303', 'taxpayer_name', 'name', true),
-        ('BIR_2303', 'registered_address', 'address', true),
-        ('BIR_2303', 'taxpayer_type', 'text', true),
-        ('DTI_BN_CERT', 'business_name', 'name', true),
-        ('DTI_BN_CERT', 'owner_name', 'name', true), ('DTI_BN_CERT', 'bn_number', 'code', true),
-        ('DTI_BN_CERT', 'valid_from', 'date', true), ('DTI_BN_CERT', 'valid_to', 'date', true),
-        ('OTHER', 'document_title', 'text', true))
+    specs(list, name, kind) AS (VALUES {_SPECS})
     SELECT sha256, t.document_type, name, kind,
         CASE WHEN name = 'tin' THEN cast(o_custkey AS string)
              WHEN name = 'bn_number' AND o_orderkey % 3 <> 0 THEN 'BN' || o_orderkey END AS value,
         CASE WHEN name = 'bn_number' THEN 'BN' END AS evidence,
         CASE WHEN name = 'tin' THEN 1 END AS page
-    FROM typed t JOIN specs USING (document_type)
+    FROM typed t JOIN specs ON list = CASE WHEN document_type IN (SELECT list FROM specs) THEN document_type ELSE '*' END
     """)
 
 register("other_fields", {"outputs": OUTPUTS},
