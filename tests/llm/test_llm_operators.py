@@ -514,6 +514,37 @@ def test_spelling_is_a_probability():
     assert model.spell([b"abab"])[0] > model.spell([b"zqzq"])[0]
 
 
+def test_mixer_learns_from_all_training_words(make):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["ab", "cde", "f"]) for _ in range(60))  # noqa: E731  (over 64 bytes)
+    texts = [" ".join(word() for _ in range(5)) if zlib.crc32(str(k).encode()) % 10 else word() for k in range(60)]
+    out = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10 == 0]
+    known = sorted({w for k, t in enumerate(texts) if k not in out for w in t.encode().split()} | {b""})
+    counts = [np.zeros((n, 2), np.int64) for n in context_mixing.TABLES]
+    for _, bit, slots in context_mixing.Spelling(known).bits():
+        for c, s in zip(counts, slots, strict=True):
+            np.add.at(c, (s, bit), 1)
+    spelt = context_mixing.Model(counts).train(counts, context_mixing.word_order(known)[0]).spell(
+        [texts[k].encode() for k in out])
+    for partitions in (1, 5):
+        got = {r["doc_id"]: r["score"] for r in context_mixing.score(make(texts).repartition(partitions), fold(10, 0)).collect()}
+        for k, x in zip(out, spelt, strict=True):   # one unknown word each: the rest of the scores is the same
+            assert math.isclose(got[k] - got[out[0]], (x - spelt[0]) / math.log(10), rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_a_byte_met_often_counts_as_often():
+    rng = random.Random(32)
+    words = [b"", *{"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))).encode() for _ in range(300)}]
+    whole, once = context_mixing.Spelling(words), context_mixing.Spelling(words).distinct()
+    assert len(once.data) < len(whole.data) == once.times.sum()
+    for (_, bit, slots), (_, bit_once, slots_once) in zip(whole.bits(), once.bits(), strict=True):
+        assert (bit == bit_once[once.which]).all()
+        assert all((s == o[once.which]).all() for s, o in zip(slots, slots_once, strict=True))
+    counts = [np.full((n, 2), 3, np.int64) for n in context_mixing.TABLES]
+    model = context_mixing.Model(counts).train(counts, words)
+    assert model.met.sum() == 8 * len(whole.data) and math.isclose(model.near.sum(), model.met.sum(), rel_tol=1e-4)
+
+
 def test_scores_without_training_rows(make):
     rows = context_mixing.score(make(["a b", None]), F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in rows)
