@@ -10,15 +10,17 @@ Defined cases: a null or empty text is the closing id alone; repeated rows are p
 columns are not carried (ids and places are enough to join them back).
 """
 
+from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, keep, run_groups, text_batches
+from .common import free_name, keep, run_groups
 
 SEQUENCE = 4096
 END_ID = 2
@@ -28,6 +30,8 @@ GROUP_PIECES = 20_000
 REMEMBERED_BYTES, SHORT = 48 << 20, 64
 #: Words encoded in one call.
 TOGETHER = 200
+#: Pieces handed back in one batch.
+AT_ONCE = 1000
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -43,8 +47,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and no piece of it spans a space, so a text's ids are those of its
     stretches in turn; nor does one span the end of a run of letters (as the tokenizer normalises them), so
-    ASCII marks behind a word are looked up apart. Short stretches used since the last turnover are
-    remembered, the rest forgotten; long ones are encoded each time."""
+    ASCII marks behind a word are looked up apart. Texts are cut, and their ids put together, a column at a
+    time in Arrow; only the different runs of a batch are looked up one by one. Short ones used since the last
+    turnover are remembered, the rest forgotten; long ones are encoded each time."""
 
     def __init__(self, path):
         super().__init__()
@@ -54,71 +59,87 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def __missing__(self, word):
-        out = self.old.get(word)
-        if out is None:
-            core, marks = _parts(word)
-            if core != word:
-                out = self[core] + (self[marks] if marks else b"")
-            else:
-                out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self.remember(word, out)
-        return out
-
-    def remember(self, word, ids):
-        if len(word) <= SHORT:
-            self[word] = ids
-            self.used += len(word) + len(ids) + 200
-
     def learn(self, words):
-        """Encode the runs of letters among new words many at a time: a call costs more than a word."""
+        """Ids of new words. Lower-case ASCII letters reach the tokenizer's model as they are, which is asked for
+        them at once; other runs of letters are encoded many at a time: a call costs more than a word."""
+        found, known, plain, some = {}, self.old.get, [], []
+        for word in words:
+            ids = known(word)
+            if ids is not None:
+                found[word] = ids
+            elif len(word) <= SHORT and word.isalpha():
+                (plain if word.isascii() and word.islower() else some).append(word)
+        ids = [[token.id for token in tokens] for tokens in map(self.tokenizer.model.tokenize, plain)]
+        found.update(_cut(plain, np.array(list(chain.from_iterable(ids)), "<u4"), np.cumsum(list(map(len, ids)))))
+        for at in range(0, len(some), TOGETHER):
+            few = some[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(few), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(few):   # each is one run of letters after the tokenizer's normalising too
+                found.update(_cut(few, ids, ends))
+        for word in words:
+            if word not in found:
+                found[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) <= SHORT:
+                self[word] = ids = found[word]
+                self.used += len(word) + len(ids) + 200
+        return found
+
+    def of(self, words):
+        """An array of the ids of each of an array of different words."""
+        words = words.to_numpy(zero_copy_only=False).tolist()
         if self.used > REMEMBERED_BYTES:
             self.old, self.used = dict(self), 0
             self.clear()
-        old, whole, new = self.old, [], set()
-        for word in words:
-            if word in self or len(word) > SHORT:
-                continue
-            known = old.get(word)
-            if known is not None:
-                self.remember(word, known)
-                continue
-            core, marks = _parts(word)
-            if core != word:
-                whole.append((word, core, marks))
-            if core.isalpha() and core not in self and core not in old:
-                new.add(core)
-        new = list(new)
-        for at in range(0, len(new), TOGETHER):
-            some = new[at:at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):   # each is one run of letters after the tokenizer's normalising too
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
-                self.used += len(raw) + 210 * len(some)
-        for word, core, marks in whole:
-            self[word] = self[core] + self[marks] if marks else self[core]
-        self.used += 250 * len(whole)
+        out = list(map(self.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        learnt = self.learn([words[k] for k in new])
+        for k in new:
+            out[k] = learnt[words[k]]
+        return pa.array(out, pa.large_binary())
+
+    def column(self, texts, end=b""):
+        """The ids of a column of texts in one buffer, each text's closed by ``end``, and where each begins."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = split.values.dictionary_encode()
+        core, marks = (part.dictionary_encode() for part in _parts(words.dictionary))
+        ids = pc.binary_join_element_wise(self.of(core.dictionary).take(core.indices),
+                                          self.of(marks.dictionary).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        ids = pa.concat_arrays([ids, pa.array([end], pa.large_binary())])
+        after = split.offsets.to_numpy()[1:]
+        flat = ids.take(pa.array(np.insert(words.indices.to_numpy(), after, len(ids) - 1)))
+        at = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)
+        return flat.buffers()[2], at[np.concatenate([[0], after + np.arange(1, len(after) + 1)])]
 
     def texts(self, texts):
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        ids, at = self.column(pa.array(texts, pa.string()))
+        ids = b"" if ids is None else ids.to_pybytes()
+        return [ids[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+
 
+def _cut(words, ids, ends):
+    """The ids of each word, which end at ``ends``, as bytes."""
+    raw, ends = ids.tobytes(), (4 * ends).tolist()
+    return zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)])  # noqa: B905
 
-def _parts(word):
-    """The letters of a word (ASCII in lower case) and the ASCII marks behind them. Only what is letters
+
+def _parts(words):
+    """The letters of each word (ASCII in lower case) and the ASCII marks behind them. Only what is letters
     throughout in lower case too is taken apart: a capital I with a dot ends in a mark then."""
-    core = word.rstrip(_MARKS)
-    if core == word and not word.isascii():
-        return word, ""
-    if core.isascii() and core.isalpha():
-        return core.lower(), word[len(core):]
-    return (core, word[len(core):]) if core.isalpha() and normalize("NFC", core).lower().isalpha() else (word, "")
+    core = pc.ascii_rtrim(words, _MARKS)
+    plain = pc.ascii_is_alpha(core)
+    other = pc.and_not(pc.not_equal(core, words), pc.or_(plain, pc.string_is_ascii(core)))
+    apart = plain.to_numpy(zero_copy_only=False).copy()
+    at = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+    apart[at] = [w.isalpha() and normalize("NFC", w).lower().isalpha() for w in core.take(pa.array(at)).to_pylist()]
+    marked = pa.array(apart & pc.not_equal(core, words).to_numpy(zero_copy_only=False))
+    marks = pc.replace_with_mask(pa.repeat(pa.scalar("", words.type), len(words)), marked, pc.replace_substring_regex(
+        words.filter(marked), f"^.*[^{_BETWEEN}]", ""))
+    return pc.if_else(plain, pc.ascii_lower(core), pc.if_else(pa.array(apart), core, words)), marks
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BETWEEN = r"!-/:-@\[-`{-~"   # the same, as ranges
 _WORD_IDS = {}
 
 
@@ -138,18 +159,26 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
                         ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        ids = word_ids(path)
-        for batch, texts in text_batches(batches):
-            rows = []
-            whole_ids = ids.texts([t.decode("utf-8", "surrogatepass") for t in texts])
-            for doc, whole in zip(batch.column(0).to_pylist(), whole_ids, strict=True):
-                whole += end
-                n = len(whole) // 4
-                rows += [(doc, at, min(sequence, n - at), n, whole[4 * at:4 * (at + sequence)])
-                         for at in range(0, n, sequence)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
-                if rows else [pa.array([], t) for t in schema.types], schema=schema)
+        words = word_ids(path)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, at = words.column(batch.column(1), end)
+            tokens = np.diff(at) // 4
+            each = -(-tokens // sequence)
+            doc = np.repeat(np.arange(len(tokens)), each)
+            start = sequence * (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each))
+            tokens = tokens[doc]
+            length = np.minimum(sequence, tokens - start)
+            begin = at[doc] + 4 * start
+            docs = batch.column(0).take(pa.array(doc))
+            for k in range(0, len(doc), AT_ONCE):   # ids of a batch may not fit 32-bit offsets
+                few = slice(k, k + AT_ONCE)
+                offsets = np.append(begin[few], begin[few][-1] + 4 * length[few][-1]) - begin[k]
+                raw = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [
+                    None, pa.py_buffer(offsets.astype(np.int32)), ids.slice(begin[k], offsets[-1])])
+                yield pa.RecordBatch.from_arrays(
+                    [docs[few], pa.array(start[few]), pa.array(length[few]), pa.array(tokens[few]), raw], schema=schema)
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(cut, PIECES)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -23,6 +24,34 @@ def test_word_ids_equal_the_tokenizer(monkeypatch):
             assert got == want, repr(t)
 
 
+def test_a_word_is_remembered_once_whatever_its_case_and_marks():
+    ids = packing.WordIds(packing.vocabulary_path())
+    marks = ["", ".", ",", "!", "!!", "?", "...", "$$$", "###", "%%%"]
+    words = [f"{w}{m}" for w in ("plain", "Plain", "PLAIN", "pläin") for m in marks]
+    texts = [" ".join(words), None, "", "  plain\n\nplain.  ", "<|endoftext|>. İ. H̱. don't. x" + "y" * 100]
+    want = [np.array(ids.tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
+    raw, at = ids.column(pa.array(texts), np.array([2], "<u4").tobytes())
+    assert [raw.to_pybytes()[a:b] for a, b in zip(at, at[1:], strict=False)] == want
+    assert {w for w in ids if w[:2] == "pl"} == {"plain", "pläin"}    # one entry for each form before
+    assert set(marks) - {""} < set(ids)
+
+
+def test_pieces_of_long_texts_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 3)
+    prepared(spark)
+    texts = ["one two, three. " * 9, "", None, "a b c d e f g h", "a b c d e f g"]   # one ends at a multiple of 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    got = {}
+    for r in sorted(packing.pieces(docs, sequence=8).collect()):
+        ids = np.array(tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert r["start"] == got.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids)
+        assert r["length"] == min(8, len(ids) - r["start"])
+        assert bytes(r["ids"]) == ids[r["start"]:r["start"] + 8].tobytes()
+        got[r["doc_id"]] = r["start"] + r["length"]
+    assert got == {0: 46, 1: 1, 2: 1, 3: 9, 4: 8}
+
+
 def test_null_and_repeated_ids_spread_over_groups(spark):
     prepared(spark)
     rows = [(None, "one two three")] * 400 + [(7, "one two three")] * 400
