@@ -101,21 +101,23 @@ def merged(spans):
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int):
-    """The benchmark in blocks of about ``most`` bytes, one at a time on the driver."""
+    """The benchmark in blocks of about ``most`` bytes, one at a time on the driver, and whether it is the last."""
     items = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where(
         F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // most) or 1
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in block.toArrow().to_pylist()]
+        yield [(r["item"], r["text"]) for r in block.toArrow().to_pylist()], k == n - 1
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-         out: str = "contamination") -> DataFrame:
+         out: str = "contamination", then=None) -> DataFrame:
     """``docs`` with a struct ``out``: ``hits`` (word positions, flattened [start, end) pairs),
-    ``items`` (ids as text, sorted) and ``n_words``."""
+    ``items`` (ids as text, sorted) and ``n_words``. ``then``: what becomes of the Arrow batches of these rows
+    before they leave their task, and the schema that gives. As a step behind this one it would hold a second Python
+    worker for every task."""
     spark = docs.sparkSession
     struct = T.StructType.fromDDL(FOUND)
     name, out = out, docs.withColumn(out, F.struct(
@@ -123,7 +125,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         F.lit(0).cast("long").alias("n_words")))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, struct)])
     arrow = pa.struct([("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("n_words", pa.int64())])
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
+    for items, last in _blocks(benchmark, item_id, item_text, block_bytes):
         known = spark.sparkContext.broadcast(WindowSet(items, window))
 
         def scan(batches, known=known):
@@ -152,7 +154,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 columns = [*batch.columns[:at], pa.array(now, arrow), *batch.columns[at + 1:]]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        out = out.mapInArrow(scan, schema)
+        if last and then is not None:
+            made, schema = then
+            out = out.mapInArrow(lambda batches, scan=scan: made(scan(batches)), schema)
+        else:
+            out = out.mapInArrow(scan, schema)
     return out
 
 
@@ -183,12 +189,10 @@ def cut_spans(text: str, hits) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with the spans of single hits cut out of their text."""
     name = free_name("contamination", docs)
-    found = find(docs, benchmark, text, out=name, **options)
-    schema = found.schema
 
     def cut(batches):
         for batch in batches:
-            at, c = batch.schema.get_field_index(text), batch.schema.get_field_index(name)
+            at, c = batch.schema.get_field_index(text), batch.schema.get_field_index(name)   # the last column
             kept, texts = [], []
             for i, (t, found) in enumerate(zip(batch.column(at).to_pylist(), batch.column(c).to_pylist(), strict=True)):
                 hits = found["hits"]
@@ -197,9 +201,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
                     continue
                 kept.append(i)
                 texts.append(cut_spans(t, hits) if hits else t)
-            out = batch.take(pa.array(kept, pa.int64()))
+            out = batch.drop_columns([name]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*out.columns[:at], pa.array(texts, out.column(at).type), *out.columns[at + 1:]],
-                names=batch.schema.names)
+                names=out.schema.names)
 
-    return found.mapInArrow(cut, schema).drop(name)
+    return find(docs, benchmark, text, out=name, then=(cut, docs.schema), **options)
