@@ -19,7 +19,7 @@ DOCS = ("SELECT source AS job_id, doc_id, doc_id AS pos, text AS content, "
 
 # ---------------------------------------------------------------- A
 QUERIES["scan_files"] = lambda spark, sf: fl.scan_files(spark, sf, "*.parquet").select(
-    "file_name", "size", F.sha2("content", 256).alias("sha256"))
+    "file_name", "size", "sha256")
 
 register("source_refs", {
     "orders_": "SELECT * FROM {orders}", "customers": "SELECT * FROM {customer}",
