@@ -50,8 +50,8 @@ def ground_fields(fields: DataFrame, pages: DataFrame, doc: Sequence[str] = DOC,
 
     Exact hits are found by plain expressions. Only values that occur nowhere exactly and have
     four letters or more go to the window search, against their page first and against the whole
-    document only if that found nothing. It is not given texts but the surroundings of pieces of the value
-    that a text holds (``candidate_regions``), which hold every window that can pass.
+    document only if that found nothing. It is given the surroundings of where a text has the value with few
+    edits (``candidate_regions``, which scans the texts of a batch together): they hold every window that can pass.
     """
     search = window_search(min_ratio)
     bundle = page_texts(pages, doc, most_pages)
